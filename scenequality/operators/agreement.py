@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scenequality.operators.running import _join_keys, draw_index, mix, positions, running_before, top_n
+from scenequality.operators.running import CROWDED, PRIME, _join_keys, positions, running_before, top_n, with_mix
 from scenequality.schemas import BEAUTY, CAUGHT_BELOW, CORRECTNESS
+from scenequality.session import cut_lineage
 
 
 def score_cells(pairs: DataFrame, by: list[str], human: str = "human", judge: str = "judge") -> DataFrame:
@@ -64,17 +65,28 @@ def with_fisher_interval(df: DataFrame, r: str = "pearson", n: str = "n") -> Dat
 
 
 # --- T3 ---
-def average_ranks(cells: DataFrame, by: list[str], value: str, weight: str = "n") -> DataFrame:
+def settled(cells: DataFrame) -> tuple[DataFrame, int | None]:
+    """Cells written once (they are read several times), and the crowding limit for their windows.
+
+    Cells are tiny next to the pairs, so the pairs are read once. The count decides the plan: up to
+    CROWDED cells in all, no group can be crowded and plain windows do.
+    """
+    cells = cut_lineage(cells)
+    return cells, (None if cells.count() <= CROWDED else CROWDED)
+
+
+def average_ranks(cells: DataFrame, by: list[str], value: str, weight: str = "n", crowded: int | None = CROWDED) -> DataFrame:
     """One row per distinct value of each group, with its average rank."""
     margin = cells.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    ranked = running_before(margin, by, value, "_w", "_before")
+    ranked = running_before(margin, by, value, "_w", "_before", crowded)
     return ranked.select(*by, value, (F.col("_before") + (F.col("_w") + 1) / 2).alias(f"{value}_rank"))
 
 
 def spearman(cells: DataFrame, by: list[str]) -> DataFrame:
     """Pearson of average ranks; null below three pairs or when a side is constant."""
-    joined = _join_keys(cells, average_ranks(cells, by, "human"), [*by, "human"])
-    joined = _join_keys(joined, average_ranks(cells, by, "judge"), [*by, "judge"])
+    cells, crowded = settled(cells)
+    joined = _join_keys(cells, average_ranks(cells, by, "human", crowded=crowded), [*by, "human"])
+    joined = _join_keys(joined, average_ranks(cells, by, "judge", crowded=crowded), [*by, "judge"])
     totals = cells.groupBy(*by).agg(F.sum("n").alias("_n"))
     joined = _join_keys(joined, totals, by)
     centre = (F.col("_n") + 1) / 2
@@ -95,8 +107,9 @@ def kendall_tau_b(cells: DataFrame, by: list[str]) -> DataFrame:
     Per (group, level, prefix) a running total of bit-0 weight in judge order therefore counts
     concordant minus discordant pairs, each pair of cells at one level only.
     """
+    cells, crowded = settled(cells)
     marks = cells.groupBy(*by, "human").agg(F.lit(1).alias("_one"))
-    dense = running_before(marks, by, "human", "_one", "_dense").drop("_one")
+    dense = running_before(marks, by, "human", "_one", "_dense", crowded).drop("_one")
     coded = _join_keys(cells, dense, [*by, "human"])
     span = coded.groupBy(*by).agg(F.max("_dense").alias("_max"))
     coded = _join_keys(coded, span, by)
@@ -109,7 +122,7 @@ def kendall_tau_b(cells: DataFrame, by: list[str]) -> DataFrame:
     halves = split.groupBy(*keys, "judge").agg(
         F.sum(F.when(F.col("_bit") == 0, n).otherwise(0)).alias("_w0"),
         F.sum(F.when(F.col("_bit") == 1, n).otherwise(0)).alias("_w1"))
-    running = running_before(halves, keys, "judge", "_w0", "_less")
+    running = running_before(halves, keys, "judge", "_w0", "_less", crowded)
     totals = halves.groupBy(*keys).agg(F.sum("_w0").alias("_all"))
     running = _join_keys(running, totals, keys)
     less, more = F.col("_less").cast("double"), F.col("_all") - F.col("_less") - F.col("_w0")
@@ -131,7 +144,8 @@ def auc(df: DataFrame, by: list[str], score: str = "score", positive: str = "pos
     """How often a positive outscores a negative (ties count half); null if a class is empty."""
     cells = (df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_v"))
              .agg(F.count_if(F.col(positive)).alias("_p"), F.count_if(~F.col(positive)).alias("_q")))
-    ranked = running_before(cells, by, "_v", "_q", "_below")
+    cells, crowded = settled(cells)
+    ranked = running_before(cells, by, "_v", "_q", "_below", crowded)
     wins = F.col("_p").cast("double") * (F.col("_below") + F.col("_q") / 2)
     sums = ranked.groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum("_q").alias("negatives"), F.sum(wins).alias("_wins"))
     value = F.when((F.col("positives") > 0) & (F.col("negatives") > 0),
@@ -190,18 +204,25 @@ def numbered(errors: DataFrame, order: str = "id") -> DataFrame:
     return positions(errors, [], F.col(order), [order])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Few rows that each expand into many: hash them over all shuffle partitions first."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def paired_bootstrap(errors: DataFrame, draws: int = 10000, seed: int = 20261112) -> DataFrame:
     """Interval of the RMSE change over resampled drawings.
 
     ``errors``: one row per drawing (id, error_a, error_b) with mean squared errors. Draw ``i`` of
-    replicate ``r`` picks position ``draw_index(n, r, i)``: no state, so any task can be re-run.
+    replicate ``r`` picks a position mixed from (r, i): no state, so any task can be re-run.
     Replicate sums are combined map-side; only (task, replicate) partials are shuffled.
     """
     rows = numbered(errors)
     size = rows.agg(F.count(F.lit(1)).alias("_n"))
-    slots = _join_keys(rows.select(F.col("position").alias("_i")), size, [])
-    picks = slots.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(
-        "_rep", draw_index(F.col("_n"), F.col("_rep"), F.col("_i"), seed=seed).alias("position"))
+    slots = spread(_join_keys(rows.select(F.col("position").alias("_i")), size, []), "_i")
+    draws_of = with_mix(slots.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))),
+                        {"_hi": seed, "_lo": seed + 1}, "_rep", "_i")
+    wide = F.col("_hi") * F.lit(PRIME).cast("bigint") + F.col("_lo")
+    picks = draws_of.select("_rep", (wide % F.col("_n")).alias("position"))
     sampled = picks.join(rows.select("position", "error_a", "error_b"), "position")
     per = sampled.groupBy("_rep").agg((F.sqrt(F.avg("error_b")) - F.sqrt(F.avg("error_a"))).alias("_change"))
     interval = per.agg(F.percentile("_change", F.lit(0.025)).alias("ci_low"),
@@ -217,8 +238,9 @@ def paired_permutation(errors: DataFrame, draws: int = 10000, seed: int = 202611
     diff = errors.select("id", (F.col("error_b") - F.col("error_a")).alias("_d"))
     observed = diff.agg(F.abs(F.sum("_d")).alias("_observed"), F.count(F.lit(1)).alias("drawings"),
                         F.avg("_d").alias("mse_change"))
-    flips = diff.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    coin = F.floor(mix(F.col("_rep"), F.col("id"), seed=seed) / 1024) % 2 == 0
+    flips = with_mix(spread(diff, "id").withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))),
+                     {"_coin": seed}, "_rep", "id")
+    coin = F.floor(F.col("_coin") / 1024) % 2 == 0
     sums = flips.groupBy("_rep").agg(F.sum(F.when(coin, F.col("_d")).otherwise(-F.col("_d"))).alias("_sum"))
     tested = _join_keys(sums, observed, [])
     extreme = F.count_if(F.abs("_sum") >= F.col("_observed") - 1e-12)

@@ -12,11 +12,12 @@ def drops(baseline: DataFrame, variants: DataFrame, decimals: int = 1) -> DataFr
     """Baseline mean minus variant, in points, per (variant, dimension).
 
     ``baseline``: (id, run, dimension, score in 0-1); ``variants``: (id, kind, variant, target,
-    changed_px, dimension, score). Baseline runs collapse map-side before the join.
+    changed_px, dimension, score). Baseline runs collapse map-side before the join. Six-decimal
+    snapping keeps a tie a tie whatever order the mean was summed in.
     """
     means = baseline.groupBy("id", "dimension").agg(F.avg("score").alias("_base"))
     return variants.join(means, ["id", "dimension"]).withColumn(
-        "drop", F.bround(100 * F.col("_base") - 100 * F.col("score"), decimals)).drop("_base", "score")
+        "drop", F.bround(F.round(100 * F.col("_base") - 100 * F.col("score"), 6), decimals)).drop("_base", "score")
 
 
 # --- V8 ---

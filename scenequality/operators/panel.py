@@ -38,7 +38,7 @@ def criterion_panel(scores: DataFrame, criteria: DataFrame, error_factor: float
         .withColumn("score", penalised(F.col("score"), F.col("detected_issues"), error_factor))
     )
     cells = measured.groupBy(key, "criterion_id", "score").agg(F.count(F.lit(1)).alias("n"))
-    medians = cells.groupBy(key, "criterion_id").agg(F.percentile("score", 0.5, "n").alias("score"))
+    medians = cells.groupBy(key, "criterion_id").agg(F.percentile("score", F.lit(0.5), F.col("n")).alias("score"))
     return medians.join(rubric, "criterion_id").select(key, "dimension", "criterion_id", "score")
 
 

@@ -45,11 +45,16 @@ def _with_offsets(local: DataFrame, keys: list[str], weight: Column) -> DataFram
     return _join_keys(local, offsets, [*keys, "_bucket"], "left")
 
 
-def running_before(df: DataFrame, keys: list[str], value: str, weight: str, out: str, crowded: int = CROWDED) -> DataFrame:
+def running_before(df: DataFrame, keys: list[str], value: str, weight: str, out: str,
+                   crowded: int | None = CROWDED) -> DataFrame:
     """Add ``out``: the total ``weight`` of the group's rows whose ``value`` is smaller.
 
-    ``value`` must be distinct inside a group (aggregate to cells first).
+    ``value`` must be distinct inside a group (aggregate to cells first). ``crowded=None`` says the
+    caller has counted the rows and no group can be crowded: one plain window then.
     """
+    if crowded is None:
+        plain = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(weight).over(plain), F.lit(0)))
     cut = _cut(df, keys, F.col(value), crowded)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
@@ -96,7 +101,19 @@ def mix(*parts: Column, seed: int = 0) -> Column:
     return state
 
 
-def draw_index(n: Column, *parts: Column, seed: int = 0) -> Column:
-    """A draw in [0, n) for n up to 2^61: two mixed halves make one wide number."""
-    high, low = mix(*parts, seed=seed), mix(*parts, seed=seed + 1)
-    return (high * F.lit(PRIME).cast("bigint") + low) % n
+def with_mix(df: DataFrame, seeds: dict[str, int], *parts: str) -> DataFrame:
+    """Add one mixed column per entry of ``seeds`` from the numeric columns ``parts``.
+
+    Same numbers as ``mix``. Each squared state gets its own projection, which keeps the generated
+    code short where the draw runs per replicate.
+    """
+    prime = F.lit(PRIME).cast("bigint")
+    keep = df.columns
+    state = {out: F.lit(seed % PRIME).cast("bigint") for out, seed in seeds.items()}
+    for i, part in enumerate(parts):
+        piece = F.col(part).cast("bigint") % prime
+        df = df.withColumns({f"_{out}_{i}a": (s * 48271 + piece + 12345) % prime for out, s in state.items()})
+        square = lambda c: (F.col(c) * F.col(c) + 104729) % prime
+        df = df.withColumns({f"_{out}_{i}b": (square(f"_{out}_{i}a") * 69621 + 7919) % prime for out in state})
+        state = {out: square(f"_{out}_{i}b") for out in state}
+    return df.select(*keep, *(s.alias(out) for out, s in state.items()))

@@ -208,7 +208,7 @@ def paired_permutation_p(spark, sf):
 # --- isolation ---
 _DROPS = """
     m AS (SELECT id, dimension, avg(score) AS base FROM baseline_scores GROUP BY ALL),
-    d AS (SELECT v.*, round_even(100 * base - 100 * score, 1) AS dropped,
+    d AS (SELECT v.*, round_even(round(100 * base - 100 * score, 6), 1) + 0.0e0 AS dropped,
                  CASE WHEN target IS NULL THEN 'control' WHEN changed_px >= 0 AND changed_px < 60 THEN 'invalid' ELSE 'error' END AS status
           FROM variant_scores v JOIN m USING (id, dimension)),
     g AS (SELECT id, kind, variant, any_value(target) AS target, any_value(status) AS status, any_value(changed_px) AS changed_px,

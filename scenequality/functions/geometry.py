@@ -9,6 +9,25 @@ from pyspark.sql import Column, functions as F
 from scenequality.schemas import DISPLAY_PANEL, SHAPE_TAGS
 
 
+def half_even(value: Column, digits: int = 0, snap: bool = True) -> Column:
+    """Round to ``digits`` decimals, exact ties to even, judging the binary value itself.
+
+    The product with 10^digits is split into its rounded part and its error, so a value a hair below
+    a tie (1.275) is not mistaken for one. ``snap`` first removes summation noise beyond the ninth
+    decimal: the order in which a mean was added up cannot move a result.
+    """
+    v = F.round(value.cast("double"), 9) if snap else value.cast("double")
+    scale = float(10 ** digits)
+    wide = v * 134217729.0
+    high = wide - (wide - v)
+    product = v * scale
+    error = (high * scale - product) + (v - high) * scale
+    low = F.floor(product)
+    beyond = (product - (low + 0.5)) + error
+    up = F.when(beyond > 0, 1).when(beyond < 0, 0).otherwise(F.pmod(low, F.lit(2)))
+    return (low + up) / scale
+
+
 class Box(NamedTuple):
     x: Column
     y: Column
@@ -122,7 +141,7 @@ def normalized_box(location: Column, width: Column, height: Column) -> Column:
         clamp(F.when(pixels, c / size.cast("double")).otherwise(c))
         for c, size in zip(corners, (width, height, width, height)))
     usable = ~(pixels & (width.isNull() | height.isNull())) & (x1 > x0) & (y1 > y0)
-    return F.when(usable, F.struct(*(F.bround(v, 4).alias(n) for v, n in
+    return F.when(usable, F.struct(*(half_even(v, 4, False).alias(n) for v, n in
                                      zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1")))))
 
 
@@ -130,8 +149,8 @@ def normalized_location(b: Box, width: Column, height: Column) -> Column:
     """G17: element corners as fractions of the canvas."""
     w = F.coalesce(F.nullif(width, F.lit(0.0)), F.lit(1.0))
     h = F.coalesce(F.nullif(height, F.lit(0.0)), F.lit(1.0))
-    return F.struct(F.bround(b.x / w, 4).alias("x0"), F.bround(b.y / h, 4).alias("y0"),
-                    F.bround(b.right / w, 4).alias("x1"), F.bround(b.bottom / h, 4).alias("y1"))
+    return F.struct(half_even(b.x / w, 4, False).alias("x0"), half_even(b.y / h, 4, False).alias("y0"),
+                    half_even(b.right / w, 4, False).alias("x1"), half_even(b.bottom / h, 4, False).alias("y1"))
 
 
 # --- G5, G6, G7 ---
@@ -233,12 +252,12 @@ def hue_families(hues: Column, tolerance: float = 20.0) -> Column:
 # --- G12, G13, G14, G16 ---
 def centering_score(left: Column, right: Column, top: Column, bottom: Column, width: Column, height: Column) -> Column:
     axis = lambda a, b, size: 100 * (1 - F.abs(a - b) / size)
-    return F.bround(F.least(axis(left, right, width), axis(top, bottom, height)), 0)
+    return half_even(F.least(axis(left, right, width), axis(top, bottom, height)), 0)
 
 
 def canvas_fill_score(share: Column) -> Column:
     """0 up to 3 % of the canvas, 100 from 6 %, linear between."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(100 * (100 * share - 3) / 3, 0)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), half_even(100 * (100 * share - 3) / 3, 0)))
 
 
 def hundred_to_human(score: Column) -> Column:

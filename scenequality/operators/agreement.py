@@ -216,21 +216,21 @@ def paired_bootstrap(errors: DataFrame, draws: int = 10000, seed: int = 20261112
     replicate ``r`` picks a position mixed from (r, i): no state, so any task can be re-run.
     Replicate sums are combined map-side; only (task, replicate) partials are shuffled.
     """
-    rows = numbered(errors)
-    size = rows.agg(F.count(F.lit(1)).alias("_n"))
-    slots = spread(_join_keys(rows.select(F.col("position").alias("_i")), size, []), "_i")
-    draws_of = with_mix(slots.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))),
-                        {"_hi": seed, "_lo": seed + 1}, "_rep", "_i")
+    rows = cut_lineage(numbered(errors))
+    n = rows.count()
+    slots = spread(rows.select(F.col("position").alias("_i")), "_i")
+    drawn = with_mix(slots.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))),
+                     {"_hi": seed, "_lo": seed + 1}, "_rep", "_i")
     wide = F.col("_hi") * F.lit(PRIME).cast("bigint") + F.col("_lo")
-    picks = draws_of.select("_rep", (wide % F.col("_n")).alias("position"))
+    # never null, so the join adds no null check that would repeat the whole expression
+    picks = drawn.select("_rep", F.coalesce(wide % n, F.lit(0)).alias("position"))
     sampled = picks.join(rows.select("position", "error_a", "error_b"), "position")
     per = sampled.groupBy("_rep").agg((F.sqrt(F.avg("error_b")) - F.sqrt(F.avg("error_a"))).alias("_change"))
     interval = per.agg(F.percentile("_change", F.lit(0.025)).alias("ci_low"),
                        F.percentile("_change", F.lit(0.975)).alias("ci_high"), F.count(F.lit(1)).alias("resamples"))
-    point = errors.agg(F.count(F.lit(1)).alias("drawings"), F.sqrt(F.avg("error_a")).alias("rmse_a"),
-                       F.sqrt(F.avg("error_b")).alias("rmse_b"))
-    out = _join_keys(point.withColumn("rmse_change", F.col("rmse_b") - F.col("rmse_a")), interval, [])
-    return out
+    point = rows.agg(F.count(F.lit(1)).alias("drawings"), F.sqrt(F.avg("error_a")).alias("rmse_a"),
+                     F.sqrt(F.avg("error_b")).alias("rmse_b"))
+    return _join_keys(point.withColumn("rmse_change", F.col("rmse_b") - F.col("rmse_a")), interval, [])
 
 
 def paired_permutation(errors: DataFrame, draws: int = 10000, seed: int = 20261112, candidates: int = 5) -> DataFrame:

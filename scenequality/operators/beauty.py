@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scenequality.functions.geometry import box, contrast_ratio, hue_families, hue_saturation
+from scenequality.functions.geometry import box, contrast_ratio, half_even, hue_families, hue_saturation
 
 
 def margins(boxes: DataFrame, canvases: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def margins(boxes: DataFrame, canvases: DataFrame) -> DataFrame:
     rows = group.join(canvases.select("diagram_id", "width", "height"), "diagram_id").select(
         "diagram_id", "left", (F.col("width") - F.col("_r")).alias("right"), "top", (F.col("height") - F.col("_b")).alias("bottom"), "width", "height")
     ratio = lambda a, c: F.greatest(F.col(a), F.col(c)) / F.nullif(F.least(F.col(a), F.col(c)), F.lit(0.0))
-    return rows.withColumn("worst_margin_ratio", F.bround(F.greatest(ratio("left", "right"), ratio("top", "bottom")), 2))
+    return rows.withColumn("worst_margin_ratio", half_even(F.greatest(ratio("left", "right"), ratio("top", "bottom")), 2))
 
 
 def min_gap_pct(edges: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def min_gap_pct(edges: DataFrame, boxes: DataFrame) -> DataFrame:
     across = F.abs(a.cx - b.cx) >= F.abs(a.cy - b.cy)
     gap = F.when(across, (F.greatest(a.x, b.x) - F.least(a.right, b.right)) / ((a.w + b.w) / 2)).otherwise(
         (F.greatest(a.y, b.y) - F.least(a.bottom, b.bottom)) / ((a.h + b.h) / 2))
-    return both.groupBy("diagram_id").agg(F.bround(100 * F.min(gap), 1).alias("min_gap_to_node_pct"))
+    return both.groupBy("diagram_id").agg(half_even(100 * F.min(gap), 1).alias("min_gap_to_node_pct"))
 
 
 def line_offsets(boxes: DataFrame, line: str, axis: str) -> DataFrame:
@@ -35,7 +35,7 @@ def line_offsets(boxes: DataFrame, line: str, axis: str) -> DataFrame:
     b = box()
     centre, size = (b.cx, b.w) if axis == "x" else (b.cy, b.h)
     per = boxes.groupBy("diagram_id", line).agg(((F.max(centre) - F.min(centre)) / F.avg(size)).alias("_o"))
-    return per.groupBy("diagram_id").agg(F.bround(100 * F.max("_o"), 1).alias("max_offset_pct"))
+    return per.groupBy("diagram_id").agg(half_even(100 * F.max("_o"), 1).alias("max_offset_pct"))
 
 
 def row_gap_ratio(boxes: DataFrame, line: str = "row_no") -> DataFrame:
@@ -44,7 +44,7 @@ def row_gap_ratio(boxes: DataFrame, line: str = "row_no") -> DataFrame:
     gap = F.lead("x").over(along) - (F.col("x") + F.col("w"))
     gaps = boxes.withColumn("_g", gap).filter(F.col("_g").isNotNull())
     per = gaps.groupBy("diagram_id", line).agg((F.max("_g") / F.nullif(F.min("_g"), F.lit(0.0))).alias("_r"))
-    return per.groupBy("diagram_id").agg(F.bround(F.max("_r"), 2).alias("row_gap_ratio"))
+    return per.groupBy("diagram_id").agg(half_even(F.max("_r"), 2).alias("row_gap_ratio"))
 
 
 def diagonal_connectors(connectors: DataFrame) -> DataFrame:
@@ -70,4 +70,4 @@ def colour_facts(fills: DataFrame, background: Column) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.when(F.col("_sat") >= 0.25, F.struct("_first", "_hue"))))
     return rows.groupBy("diagram_id").agg(
         F.size(hue_families(F.transform(ordered, lambda s: s["_hue"]))).alias("hue_families"),
-        F.bround(F.min("_contrast"), 2).alias("min_box_contrast"))
+        half_even(F.min("_contrast"), 2).alias("min_box_contrast"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scenequality.functions.geometry import half_even
 from scenequality.schemas import CORRECTNESS, MIN_CHANGED_PIXELS, MIN_SENSITIVITY
 
 
@@ -12,12 +13,11 @@ def drops(baseline: DataFrame, variants: DataFrame, decimals: int = 1) -> DataFr
     """Baseline mean minus variant, in points, per (variant, dimension).
 
     ``baseline``: (id, run, dimension, score in 0-1); ``variants``: (id, kind, variant, target,
-    changed_px, dimension, score). Baseline runs collapse map-side before the join. Six-decimal
-    snapping keeps a tie a tie whatever order the mean was summed in.
+    changed_px, dimension, score). Baseline runs collapse map-side before the join.
     """
     means = baseline.groupBy("id", "dimension").agg(F.avg("score").alias("_base"))
     return variants.join(means, ["id", "dimension"]).withColumn(
-        "drop", F.bround(F.round(100 * F.col("_base") - 100 * F.col("score"), 6), decimals)).drop("_base", "score")
+        "drop", half_even(100 * F.col("_base") - 100 * F.col("score"), decimals)).drop("_base", "score")
 
 
 # --- V8 ---
@@ -46,17 +46,17 @@ def isolation_rows(dropped: DataFrame, keys: list[str] = ("id", "kind", "variant
     isolation = specificity * F.least(F.lit(1.0), F.col("sensitivity") / min_sensitivity)
     return per.select(
         *keys, F.when(status == "invalid", F.lit("invalid")).otherwise(F.coalesce("target", F.lit(""))).alias("target"),
-        F.when(error, F.bround("sensitivity", 1)).alias("sensitivity"),
-        F.when(error, F.bround("_leak", 1)).when(status == "control", F.bround("_top", 1)).alias("worst_leak"),
-        F.when(error, F.bround(specificity, 1)).alias("specificity"),
-        F.when(error, F.bround(isolation, 1)).alias("isolation"), "changed_px")
+        F.when(error, half_even(F.col("sensitivity"), 1)).alias("sensitivity"),
+        F.when(error, half_even(F.col("_leak"), 1)).when(status == "control", half_even(F.col("_top"), 1)).alias("worst_leak"),
+        F.when(error, half_even(specificity, 1)).alias("specificity"),
+        F.when(error, half_even(isolation, 1)).alias("isolation"), "changed_px")
 
 
 # --- T16 ---
 def isolation_matrix(dropped: DataFrame, by: str = "target", dimensions=CORRECTNESS) -> DataFrame:
     """Mean drop per dimension for each target (or kind) of the valid error variants."""
     valid = dropped.filter(fixture_status(F.col("target"), F.col("changed_px")) == "error")
-    return valid.groupBy(by).pivot("dimension", list(dimensions)).agg(F.bround(F.avg("drop"), 1))
+    return valid.groupBy(by).pivot("dimension", list(dimensions)).agg(half_even(F.avg("drop"), 1))
 
 
 def isolation_summary(dropped: DataFrame, keys: list[str] = ("id", "kind", "variant"),
@@ -64,12 +64,12 @@ def isolation_summary(dropped: DataFrame, keys: list[str] = ("id", "kind", "vari
     """Isolation, caught share, off-target movement and variants missed by every dimension."""
     valid = dropped.filter(fixture_status(F.col("target"), F.col("changed_px")) == "error")
     off = F.col("dimension") != F.col("target")
-    off_target = valid.groupBy(*by).agg(F.bround(F.avg(F.when(off, F.abs("drop"))), 1).alias("off_target_mean_abs"))
+    off_target = valid.groupBy(*by).agg(half_even(F.avg(F.when(off, F.abs("drop"))), 1).alias("off_target_mean_abs"))
     per = valid.groupBy(*keys, *[b for b in by if b not in keys]).agg(F.max("drop").alias("_top"))
     rows = isolation_rows(valid, keys).select(*keys, "isolation", "sensitivity")
     scored = per.join(rows, list(keys)).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("variants"), F.bround(F.avg("isolation"), 1).alias("isolation"),
-        F.bround(100 * F.count_if(F.col("sensitivity") >= min_sensitivity) / F.count(F.lit(1)), 0).alias("caught_pct"),
+        F.count(F.lit(1)).alias("variants"), half_even(F.avg("isolation"), 1).alias("isolation"),
+        half_even(100 * F.count_if(F.col("sensitivity") >= min_sensitivity) / F.count(F.lit(1)), 0).alias("caught_pct"),
         F.count_if(F.col("_top") < min_sensitivity).alias("missed"))
     if by:
         return scored.join(off_target, list(by))
@@ -79,13 +79,13 @@ def isolation_summary(dropped: DataFrame, keys: list[str] = ("id", "kind", "vari
 
 def control_drops(dropped: DataFrame) -> DataFrame:
     return dropped.filter(F.col("target").isNull()).groupBy("kind", "dimension").agg(
-        F.bround(F.avg("drop"), 1).alias("mean_drop"))
+        half_even(F.avg("drop"), 1).alias("mean_drop"))
 
 
 def baseline_noise(baseline: DataFrame) -> DataFrame:
     """Mean over drawings of the population deviation between baseline repeats, in points."""
     per = baseline.groupBy("id", "dimension").agg(F.stddev_pop("score").alias("_sd"), F.count(F.lit(1)).alias("_n"))
-    return per.filter(F.col("_n") > 1).groupBy("dimension").agg(F.bround(F.avg(100 * F.col("_sd")), 1).alias("noise_sd"))
+    return per.filter(F.col("_n") > 1).groupBy("dimension").agg(half_even(F.avg(100 * F.col("_sd")), 1).alias("noise_sd"))
 
 
 # --- T17 ---

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scenequality.functions.geometry import half_even
 from scenequality.functions.labels import labels_match
 from scenequality.schemas import DRAWN, LINKED, SEVERITY_MULTIPLIERS, STATUSES, VERDICTS
 
@@ -351,7 +352,7 @@ def criterion_disagreements(scores: DataFrame, order: str, threshold: float = 0.
         F.count(F.lit(1)).alias("judges"), F.min("score").alias("lowest"), F.max("score").alias("highest"),
         spread.alias("spread"))
     return rows.filter((F.col("judges") >= 2) & (F.col("spread") >= threshold)).withColumn(
-        "spread", F.bround("spread", 4))
+        "spread", half_even(F.col("spread"), 4))
 
 
 def component_agreement(verdicts: DataFrame, keys: list[str] = ("diagram_id", "component_id"), order: str | None = None) -> DataFrame:
@@ -369,7 +370,7 @@ def component_agreement(verdicts: DataFrame, keys: list[str] = ("diagram_id", "c
 def repeat_summary(runs: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Rounded mean and population deviation over repeated runs."""
     return runs.groupBy(*keys).agg(
-        F.bround(F.avg(score), 0).alias("score"), F.bround(F.stddev_pop(score), 1).alias("std"),
+        half_even(F.avg(score), 0).alias("score"), half_even(F.stddev_pop(score), 1).alias("std"),
         F.count(F.lit(1)).alias("runs"))
 
 

@@ -1,9 +1,10 @@
 """Running totals, positions and top-n that survive a group holding most of the rows.
 
-A plain window puts a whole group into one task. Groups above ``CROWDED`` rows are therefore cut
-into ordered buckets: one window runs inside (group, bucket), a second one over the few bucket
-totals, and a left join adds the two. Ordinary groups stay in bucket 0 and the crowded side of the
-plan is empty, which adaptive execution removes. Results equal the plain window.
+A plain window puts a whole group into one task. A partial count first asks whether any group has
+more than ``CROWDED`` rows. If none has, a plain window is planned. Otherwise the crowded groups are
+cut into ordered buckets: one window runs inside (group, bucket), a second one over the few bucket
+totals, and a left join adds the two. Results equal the plain window. Give these helpers a
+materialised input (``cut_lineage``) when it is expensive: they read it more than once.
 """
 
 from __future__ import annotations
@@ -45,14 +46,19 @@ def _with_offsets(local: DataFrame, keys: list[str], weight: Column) -> DataFram
     return _join_keys(local, offsets, [*keys, "_bucket"], "left")
 
 
+def has_crowded(df: DataFrame, keys: list[str], crowded: int = CROWDED) -> bool:
+    """Whether some group is larger than one window should hold (one partial count)."""
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).isEmpty()
+
+
 def running_before(df: DataFrame, keys: list[str], value: str, weight: str, out: str,
                    crowded: int | None = CROWDED) -> DataFrame:
     """Add ``out``: the total ``weight`` of the group's rows whose ``value`` is smaller.
 
     ``value`` must be distinct inside a group (aggregate to cells first). ``crowded=None`` says the
-    caller has counted the rows and no group can be crowded: one plain window then.
+    caller knows that no group can be crowded.
     """
-    if crowded is None:
+    if crowded is None or not has_crowded(df, keys, crowded):
         plain = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(weight).over(plain), F.lit(0)))
     cut = _cut(df, keys, F.col(value), crowded)
@@ -65,6 +71,9 @@ def running_before(df: DataFrame, keys: list[str], value: str, weight: str, out:
 def positions(df: DataFrame, keys: list[str], value: Column, order: list, out: str = "position",
               crowded: int = CROWDED) -> DataFrame:
     """Add ``out``: 0-based position inside the group by ``order``; numeric ``value`` must not decrease along it."""
+    if not has_crowded(df, keys, crowded):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        return df.withColumn(out, place.cast("bigint"))
     cut = _cut(df, keys, value, crowded)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = cut.withColumn("_local", F.row_number().over(inside) - 1)

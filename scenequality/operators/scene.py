@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scenequality.functions import geometry as G
 from scenequality.functions.geometry import Box, box
-from scenequality.operators.spatial_index import CROWDED_DRAWING, at_cell, cell_join, crowded_drawings, with_cells
+from scenequality.operators.spatial_index import AUTO, at_cell, cell_join, resolve_grid, with_cells
 from scenequality.schemas import GEOMETRY
 
 BOX = ["x", "y", "w", "h"]
@@ -25,23 +25,28 @@ def _renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("diagram_id",
 
 
 # --- J1 ---
-def smallest_container(elements: DataFrame, crowded: int = CROWDED_DRAWING) -> DataFrame:
+def smallest_container(elements: DataFrame, grid=AUTO) -> DataFrame:
     """Each text with the smallest shape holding its centre (first in document order on a tie).
 
-    Identical shapes collapse to their first copy before the join, and the argmin is a partial
-    aggregation, so pairs never leave the task that made them. Texts outside every shape keep null.
+    The argmin is a partial aggregation, so pairs never leave the task that made them. With a grid,
+    identical shapes first collapse to their first copy. Texts outside every shape keep null.
     """
     shapes, texts = shapes_of(elements), texts_of(elements)
-    unique = shapes.groupBy("diagram_id", *BOX).agg(F.min(F.struct("seq", "element_id", "tag")).alias("first"))
-    sides = crowded_drawings(unique, crowded)
+    grid = resolve_grid(grid, shapes)
+    first = F.struct("seq", "element_id", "tag")
+    if grid is None:
+        unique = shapes.select("diagram_id", *BOX, first.alias("first"))
+    else:
+        unique = shapes.groupBy("diagram_id", *BOX).agg(F.min(first).alias("first"))
     t, s = box(prefix="t_"), box(prefix="s_")
-    left = at_cell(_renamed(texts, "t_"), t.cx, t.cy, sides)
-    right = _renamed(with_cells(unique, box(), sides), "s_")
+    left = at_cell(_renamed(texts, "t_"), t.cx, t.cy, grid)
+    right = _renamed(with_cells(unique, box(), grid), "s_")
     hit = cell_join(left, right, G.contains_point(s, t.cx, t.cy), "left")
     best = F.min(F.when(F.col("s_first").isNotNull(), F.struct(
         G.area(s).alias("area"), F.col("s_first.seq").alias("seq"), F.col("s_first.element_id").alias("element_id"),
         F.col("s_first.tag").alias("tag"), s.x.alias("x"), s.y.alias("y"), s.w.alias("w"), s.h.alias("h"))))
-    per = hit.groupBy("diagram_id", "t_seq", "t_element_id", "t_text", "t_x", "t_y", "t_w", "t_h").agg(best.alias("_s"))
+    own = [F.first(f"t_{c}").alias(f"t_{c}") for c in ("element_id", "text", *BOX)]  # one text per (drawing, seq)
+    per = hit.groupBy("diagram_id", "t_seq").agg(*own, best.alias("_s"))
     return per.select(
         "diagram_id", F.col("t_seq").alias("text_seq"), F.col("t_element_id").alias("text_id"), F.col("t_text").alias("text"),
         *(F.col(f"t_{c}").alias(f"text_{c}") for c in BOX),
@@ -49,27 +54,28 @@ def smallest_container(elements: DataFrame, crowded: int = CROWDED_DRAWING) -> D
         *(F.col(f"_s.{c}").alias(f"shape_{c}") for c in BOX))
 
 
-def labeled_shapes(elements: DataFrame) -> DataFrame:
-    return smallest_container(elements).filter(F.col("shape_seq").isNotNull())
+def labeled_shapes(elements: DataFrame, grid=AUTO) -> DataFrame:
+    return smallest_container(elements, grid).filter(F.col("shape_seq").isNotNull())
 
 
 # --- J9 ---
-def containers(shapes: DataFrame, tolerance: float = 0.1, crowded: int = CROWDED_DRAWING) -> DataFrame:
+def containers(shapes: DataFrame, tolerance: float = 0.1, grid=AUTO) -> DataFrame:
     """Ids of shapes that hold another shape (another id); a semi-join, so no pairs are produced."""
-    sides = crowded_drawings(shapes, crowded)
-    outer = _renamed(with_cells(shapes, box(), sides, tolerance), "o_")
-    inner = _renamed(at_cell(shapes, F.col("x"), F.col("y"), sides), "i_")
+    grid = resolve_grid(grid, shapes)
+    outer = _renamed(with_cells(shapes, box(), grid, tolerance), "o_")
+    inner = _renamed(at_cell(shapes, F.col("x"), F.col("y"), grid), "i_")
     o, i = box(prefix="o_"), box(prefix="i_")
     on = (F.col("o_element_id") != F.col("i_element_id")) & G.contains_box(o, i, tolerance)
     return cell_join(outer, inner, on, "left_semi").select("diagram_id", F.col("o_element_id").alias("element_id")).distinct()
 
 
-def leaves(elements: DataFrame) -> DataFrame:
+def leaves(elements: DataFrame, grid=AUTO) -> DataFrame:
     """Shapes that are neither containers nor arrowheads (polygons without a label)."""
     shapes = shapes_of(elements)
-    kept = shapes.join(containers(shapes), ["diagram_id", "element_id"], "left_anti")
+    grid = resolve_grid(grid, shapes)
+    kept = shapes.join(containers(shapes, grid=grid), ["diagram_id", "element_id"], "left_anti")
     polygons = kept.filter(F.col("tag") == "polygon").select("diagram_id", "seq")
-    named = labeled_shapes(elements).filter(F.col("shape_tag") == "polygon").select(
+    named = labeled_shapes(elements, grid).filter(F.col("shape_tag") == "polygon").select(
         "diagram_id", F.col("shape_seq").alias("seq"))
     bare = polygons.join(named, ["diagram_id", "seq"], "left_anti")
     return kept.join(bare, ["diagram_id", "seq"], "left_anti")
@@ -86,36 +92,54 @@ def _two_first(df: DataFrame) -> DataFrame:
     return base.join(later, keys, "left").select(*keys, "first", "second")
 
 
-def first_overlaps(left: DataFrame, right: DataFrame, threshold: float, crowded: int = CROWDED_DRAWING) -> DataFrame:
+def first_overlaps(left: DataFrame, right: DataFrame, threshold: float, grid=AUTO) -> DataFrame:
     """For each left element the first right element (not itself) it overlaps by more than ``threshold``.
 
-    Copies of a box collapse to one row with its first two owners. Distinct boxes join per grid
-    cell and only the running minimum per left box is shuffled.
+    Only the running minimum per left element is shuffled. Crowded drawings take the gridded way.
     """
+    grid = resolve_grid(grid, right)
+    if grid is None:
+        return _first_in_drawing(left, right, threshold)
+    small, large = (lambda d: d.join(grid.select("diagram_id"), "diagram_id", how) for how in ("left_anti", "left_semi"))
+    return _first_in_drawing(small(left), small(right), threshold).unionByName(
+        _first_in_grid(large(left), large(right), threshold, grid))
+
+
+def _first_in_drawing(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    a, b = box(prefix="a_"), box(prefix="b_")
+    la = _renamed(left.select("diagram_id", "seq", *BOX), "a_")
+    rb = _renamed(right.select("diagram_id", "seq", "element_id", *BOX), "b_")
+    pairs = cell_join(la, rb, (F.col("a_seq") != F.col("b_seq")) & G.intersects(a, b) & (G.overlap_fraction(a, b) > threshold))
+    best = pairs.groupBy("diagram_id", F.col("a_seq").alias("seq")).agg(F.min(F.struct("b_seq", "b_element_id")).alias("_p"))
+    return left.join(best, ["diagram_id", "seq"]).select(
+        *left.columns, F.col("_p.b_seq").alias("partner_seq"), F.col("_p.b_element_id").alias("partner_id"))
+
+
+def _first_in_grid(left: DataFrame, right: DataFrame, threshold: float, grid: DataFrame) -> DataFrame:
+    """Copies of a box collapse to one row with its first two owners; distinct boxes join per cell."""
     keys = ["diagram_id", *BOX]
     owners = _two_first(right)
-    sides = crowded_drawings(owners, crowded)
     spots = left.select(*keys).distinct()
     a, b = box(prefix="a_"), box(prefix="b_")
-    la = _renamed(with_cells(spots, box(), sides), "a_")
-    rb = _renamed(with_cells(owners.drop("second"), box(), sides), "b_")
+    la = _renamed(with_cells(spots, box(), grid), "a_")
+    rb = _renamed(with_cells(owners.drop("second"), box(), grid), "b_")
     differs = (a.x != b.x) | (a.y != b.y) | (a.w != b.w) | (a.h != b.h)
     pairs = cell_join(la, rb, G.intersects(a, b) & differs & (G.overlap_fraction(a, b) > threshold))
     other = pairs.groupBy("diagram_id", *(f"a_{c}" for c in BOX)).agg(F.min("b_first").alias("other"))
     other = other.select("diagram_id", *(F.col(f"a_{c}").alias(c) for c in BOX), "other")
-    area = G.area(box())
-    own = (F.when(F.col("first.seq") != F.col("seq"), F.col("first")).otherwise(F.col("second")))
+    own = F.when(F.col("first.seq") != F.col("seq"), F.col("first")).otherwise(F.col("second"))
     joined = left.join(owners, keys, "left").join(other, keys, "left")
-    partner = F.least(F.col("other"), F.when((area > 0) & F.lit(threshold < 1), own))
+    partner = F.least(F.col("other"), F.when((G.area(box()) > 0) & F.lit(threshold < 1), own))
     return (joined.withColumn("_p", partner).filter(F.col("_p").isNotNull())
             .select(*left.columns, F.col("_p.seq").alias("partner_seq"), F.col("_p.element_id").alias("partner_id")))
 
 
 def shape_collisions(elements: DataFrame, threshold: float = GEOMETRY["overlap_area_threshold"],
-                     shapes: DataFrame | None = None) -> DataFrame:
+                     shapes: DataFrame | None = None, grid=AUTO) -> DataFrame:
     """Colliding leaf shapes, one row per shape id, with the first shape each collides with."""
-    pool = leaves(elements) if shapes is None else shapes
-    hits = first_overlaps(pool, pool, threshold)
+    grid = resolve_grid(grid, shapes_of(elements))
+    pool = leaves(elements, grid) if shapes is None else shapes
+    hits = first_overlaps(pool, pool, threshold, grid)
     return hits.groupBy("diagram_id", "element_id").agg(
         F.min(F.struct("partner_seq", "partner_id")).alias("_p")).select(
         "diagram_id", "element_id", F.col("_p.partner_id").alias("partner_id"))
@@ -145,9 +169,10 @@ def overlap_metric(collisions: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 # --- J11 ---
-def text_overflow(elements: DataFrame) -> DataFrame:
+def text_overflow(elements: DataFrame, grid=AUTO) -> DataFrame:
     """Every text with ``issue``: 'overflow' (leaves its box), 'collision' (free text on another text) or null."""
-    placed = smallest_container(elements)
+    grid = resolve_grid(grid, elements)
+    placed = smallest_container(elements, grid)
     t, s = box(prefix="text_"), box(prefix="shape_")
     inside = placed.filter(F.col("shape_seq").isNotNull()).select(
         "diagram_id", "text_id", F.col("shape_id").alias("other_id"),
@@ -155,7 +180,7 @@ def text_overflow(elements: DataFrame) -> DataFrame:
     free = placed.filter(F.col("shape_seq").isNull()).select(
         "diagram_id", F.col("text_seq").alias("seq"), F.col("text_id").alias("element_id"),
         *(F.col(f"text_{c}").alias(c) for c in BOX))
-    hits = first_overlaps(free, texts_of(elements).drop("text"), 0.2).select("diagram_id", "seq", "partner_id")
+    hits = first_overlaps(free, texts_of(elements).drop("text"), 0.2, grid).select("diagram_id", "seq", "partner_id")
     loose = free.join(hits, ["diagram_id", "seq"], "left").select(
         "diagram_id", F.col("element_id").alias("text_id"), F.col("partner_id").alias("other_id"),
         F.when(F.col("partner_id").isNotNull(), F.lit("collision")).alias("issue"))
@@ -207,16 +232,16 @@ def font_checks(elements: DataFrame, canvases: DataFrame, minimum: float = GEOME
 
 
 # --- J10 ---
-def unexpected_boxes(elements: DataFrame, matches: DataFrame) -> DataFrame:
+def unexpected_boxes(elements: DataFrame, matches: DataFrame, grid=AUTO) -> DataFrame:
     """Labelled shapes that are no match and enclose none; one row per shape with its first text."""
-    items = labeled_shapes(elements)
+    grid = resolve_grid(grid, shapes_of(elements))
+    items = labeled_shapes(elements, grid)
     shapes = matches.select("diagram_id", "shape_seq").distinct()
     texts = matches.filter("text_seq is not null").select("diagram_id", "text_seq").distinct()
     rest = items.join(shapes, ["diagram_id", "shape_seq"], "left_anti").join(texts, ["diagram_id", "text_seq"], "left_anti")
-    sides = crowded_drawings(rest.select("diagram_id", *(F.col(f"shape_{c}").alias(c) for c in BOX)))
-    outer = with_cells(rest, box(prefix="shape_"), sides)
+    outer = with_cells(rest, box(prefix="shape_"), grid)
     inner = at_cell(matches.select("diagram_id", *(F.col(f"shape_{c}").alias(f"m_{c}") for c in BOX)),
-                    F.col("m_x"), F.col("m_y"), sides)
+                    F.col("m_x"), F.col("m_y"), grid)
     holding = cell_join(outer, inner, G.contains_box(box(prefix="shape_"), box(prefix="m_")), "left_semi").select(
         "diagram_id", "shape_seq").distinct()
     return rest.join(holding, ["diagram_id", "shape_seq"], "left_anti").groupBy("diagram_id", "shape_seq", "shape_id").agg(

@@ -1,8 +1,10 @@
 """Grid cells for spatial joins.
 
-Ordinary drawings join on ``diagram_id`` alone (everything is in cell 0, 0). A drawing with very
-many boxes is cut into grid cells a few average boxes wide, so its join work spreads over tasks and
-stays near-linear. Every spatial predicate below is local, hence the result does not depend on it.
+Ordinary drawings join on ``diagram_id`` alone: with at most ``CROWDED_DRAWING`` elements their pairs
+are few and never leave the task. Drawings above that are cut into grid cells a few average boxes
+wide, so their work spreads over tasks and stays near-linear. Every spatial predicate is local, hence
+results do not depend on the grid. One partial count (``drawing_grid``) decides the plan; pass its
+result to several operators to count only once.
 """
 
 from __future__ import annotations
@@ -10,39 +12,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scenequality.functions.geometry import Box, box
+from scenequality.session import cut_lineage
 
 CROWDED_DRAWING = 512
-CELL = ["diagram_id", "_cx", "_cy"]
+AUTO = "auto"
 
 
-def crowded_drawings(shapes: DataFrame, limit: int = CROWDED_DRAWING) -> DataFrame:
-    """Cell side of each drawing holding more than ``limit`` boxes (usually empty)."""
+def drawing_grid(shapes: DataFrame, limit: int = CROWDED_DRAWING) -> DataFrame | None:
+    """(diagram_id, _side) of the drawings with more than ``limit`` boxes, or None when there are none."""
     b = box()
     per = shapes.groupBy("diagram_id").agg(F.count(F.lit(1)).alias("_n"), F.greatest(F.avg(b.w), F.avg(b.h)).alias("_mean"))
-    return per.filter((F.col("_n") > limit) & (F.col("_mean") > 0)).select("diagram_id", (F.col("_mean") * 4).alias("_side"))
+    crowded = per.filter((F.col("_n") > limit) & (F.col("_mean") > 0)).select("diagram_id", (F.col("_mean") * 4).alias("_side"))
+    crowded = cut_lineage(crowded)
+    return None if crowded.isEmpty() else crowded
 
 
-def with_cells(df: DataFrame, b: Box, sides: DataFrame, margin: Column | float = 0.0) -> DataFrame:
-    """One row per grid cell that ``b`` (grown by ``margin``) touches."""
+def resolve_grid(grid: DataFrame | None | str, shapes: DataFrame) -> DataFrame | None:
+    return drawing_grid(shapes) if isinstance(grid, str) else grid
+
+
+def with_cells(df: DataFrame, b: Box, grid: DataFrame | None, margin: Column | float = 0.0) -> DataFrame:
+    """One row per grid cell that ``b`` (grown by ``margin``) touches; unchanged without a grid."""
+    if grid is None:
+        return df
     m = margin if isinstance(margin, Column) else F.lit(float(margin))
     side = F.col("_side")
     cell = lambda v: F.floor(v / side).cast("bigint")
     columns = F.sequence(cell(b.x - m), cell(b.right + m))
     lines = F.sequence(cell(b.y - m), cell(b.bottom + m))
-    grid = F.flatten(F.transform(columns, lambda i: F.transform(lines, lambda j: F.struct(i.alias("_cx"), j.alias("_cy")))))
+    cells = F.flatten(F.transform(columns, lambda i: F.transform(lines, lambda j: F.struct(i.alias("_cx"), j.alias("_cy")))))
     origin = F.array(F.struct(F.lit(0).cast("bigint").alias("_cx"), F.lit(0).cast("bigint").alias("_cy")))
-    placed = df.join(sides, "diagram_id", "left")
-    return placed.select(*df.columns, F.inline(F.when(side.isNull(), origin).otherwise(grid)))
+    placed = df.join(grid, "diagram_id", "left")
+    return placed.select(*df.columns, F.inline(F.when(side.isNull(), origin).otherwise(cells)))
 
 
-def at_cell(df: DataFrame, px: Column, py: Column, sides: DataFrame) -> DataFrame:
+def at_cell(df: DataFrame, px: Column, py: Column, grid: DataFrame | None) -> DataFrame:
     """The one grid cell of a point."""
+    if grid is None:
+        return df
     cell = lambda v: F.coalesce(F.floor(v / F.col("_side")).cast("bigint"), F.lit(0).cast("bigint"))
-    return df.join(sides, "diagram_id", "left").withColumn("_cx", cell(px)).withColumn("_cy", cell(py)).drop("_side")
+    return df.join(grid, "diagram_id", "left").withColumn("_cx", cell(px)).withColumn("_cy", cell(py)).drop("_side")
 
 
 def cell_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
     """Join two celled frames (their other columns must not clash) on drawing, cell and ``on``."""
-    keyed = right.withColumnsRenamed({"diagram_id": "_rd", "_cx": "_rx", "_cy": "_ry"})
-    same = (F.col("diagram_id") == F.col("_rd")) & (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry"))
-    return left.join(keyed, same & on, how).drop("_rd", "_rx", "_ry")
+    names = {"diagram_id": "_rd", "_cx": "_rx", "_cy": "_ry"}
+    shared = {k: v for k, v in names.items() if k in right.columns}
+    keyed = right.withColumnsRenamed(shared)
+    same = on
+    for k, v in shared.items():
+        same = (F.col(k) == F.col(v)) & same
+    joined = left.join(keyed, same, how)
+    return joined.drop("_rd", "_rx", "_ry") if how in ("left_semi", "left_anti") else joined.drop("_rd", "_rx", "_ry", "_cx", "_cy")

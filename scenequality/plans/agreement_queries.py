@@ -208,7 +208,7 @@ def paired_permutation_p(spark, sf):
 # --- isolation ---
 _DROPS = """
     m AS (SELECT id, dimension, avg(score) AS base FROM baseline_scores GROUP BY ALL),
-    d AS (SELECT v.*, round_even(round(100 * base - 100 * score, 6), 1) + 0.0e0 AS dropped,
+    d AS (SELECT v.*, half_even(100 * base - 100 * score, 1) AS dropped,
                  CASE WHEN target IS NULL THEN 'control' WHEN changed_px >= 0 AND changed_px < 60 THEN 'invalid' ELSE 'error' END AS status
           FROM variant_scores v JOIN m USING (id, dimension)),
     g AS (SELECT id, kind, variant, any_value(target) AS target, any_value(status) AS status, any_value(changed_px) AS changed_px,
@@ -226,24 +226,24 @@ def _drops(spark, sf):
 
 @query("isolation_rows", _VIEWS, """
     SELECT id, kind, variant, CASE WHEN status = 'invalid' THEN 'invalid' ELSE coalesce(target, '') END AS target,
-           CASE WHEN status = 'error' THEN round_even(sens, 1) END AS sensitivity,
-           CASE WHEN status = 'error' THEN round_even(leak, 1) WHEN status = 'control' THEN round_even(top, 1) END AS worst_leak,
-           CASE WHEN status = 'error' THEN round_even(spec, 1) END AS specificity,
-           CASE WHEN status = 'error' THEN round_even(spec * least(1, sens / 15), 1) END AS isolation, changed_px FROM iso""", _DROPS)
+           CASE WHEN status = 'error' THEN half_even(sens, 1) END AS sensitivity,
+           CASE WHEN status = 'error' THEN half_even(leak, 1) WHEN status = 'control' THEN half_even(top, 1) END AS worst_leak,
+           CASE WHEN status = 'error' THEN half_even(spec, 1) END AS specificity,
+           CASE WHEN status = 'error' THEN half_even(spec * least(1, sens / 15), 1) END AS isolation, changed_px FROM iso""", _DROPS)
 def isolation_rows(spark, sf):
     return I.isolation_rows(_drops(spark, sf))
 
 
 @query("isolation_matrix", _VIEWS, "SELECT target, " + ", ".join(
-    f"round_even(avg(dropped) FILTER (dimension = '{d}'), 1) AS {d}" for d in CORRECTNESS) + " FROM d WHERE status = 'error' GROUP BY ALL", _DROPS)
+    f"half_even(avg(dropped) FILTER (dimension = '{d}'), 1) AS {d}" for d in CORRECTNESS) + " FROM d WHERE status = 'error' GROUP BY ALL", _DROPS)
 def isolation_matrix(spark, sf):
     return I.isolation_matrix(_drops(spark, sf))
 
 
 @query("isolation_summary", _VIEWS, """
-    , off AS (SELECT target, round_even(avg(abs(dropped)) FILTER (dimension <> target), 1) AS off_target_mean_abs FROM d WHERE status = 'error' GROUP BY ALL)
-    SELECT target, count(*) AS variants, round_even(avg(round_even(spec * least(1, sens / 15), 1)), 1) AS isolation,
-           round_even(100 * count(*) FILTER (sens >= 15) / count(*), 0) AS caught_pct, count(*) FILTER (top < 15) AS missed,
+    , off AS (SELECT target, half_even(avg(abs(dropped)) FILTER (dimension <> target), 1) AS off_target_mean_abs FROM d WHERE status = 'error' GROUP BY ALL)
+    SELECT target, count(*) AS variants, half_even(avg(half_even(spec * least(1, sens / 15), 1)), 1) AS isolation,
+           half_even(100 * count(*) FILTER (sens >= 15) / count(*), 0) AS caught_pct, count(*) FILTER (top < 15) AS missed,
            any_value(off_target_mean_abs) AS off_target_mean_abs
     FROM iso JOIN off USING (target) WHERE status = 'error' GROUP BY ALL""", _DROPS)
 def isolation_summary(spark, sf):
@@ -259,7 +259,7 @@ def isolation_warnings(spark, sf):
 
 
 @query("control_drops", _VIEWS, """
-    SELECT kind, dimension, round_even(avg(dropped), 1) AS mean_drop FROM d WHERE target IS NULL GROUP BY ALL""", _DROPS)
+    SELECT kind, dimension, half_even(avg(dropped), 1) AS mean_drop FROM d WHERE target IS NULL GROUP BY ALL""", _DROPS)
 def control_drops(spark, sf):
     return I.control_drops(_drops(spark, sf))
 
@@ -272,13 +272,13 @@ def controls_pass(spark, sf):
 
 @query("baseline_noise", _VIEWS, """
     , n AS (SELECT id, dimension, stddev_pop(score) AS sd FROM baseline_scores GROUP BY ALL HAVING count(*) > 1)
-    SELECT dimension, round_even(avg(100 * sd), 1) AS noise_sd FROM n GROUP BY ALL""")
+    SELECT dimension, half_even(avg(100 * sd), 1) AS noise_sd FROM n GROUP BY ALL""")
 def baseline_noise(spark, sf):
     return I.baseline_noise(view(spark, sf, "baseline_scores"))
 
 
 @query("isolation_examples", _VIEWS, """
-    , e AS (SELECT kind, id, variant, round_even(sens, 1) AS s, round_even(spec * least(1, sens / 15), 1) AS i FROM iso WHERE status = 'error'),
+    , e AS (SELECT kind, id, variant, half_even(sens, 1) AS s, half_even(spec * least(1, sens / 15), 1) AS i FROM iso WHERE status = 'error'),
     r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY s DESC, id, variant) AS b, row_number() OVER (PARTITION BY kind ORDER BY i, id, variant) AS w FROM e)
     SELECT kind, max(id) FILTER (b = 1) AS best_id, max(variant) FILTER (b = 1) AS best_variant,
            max(id) FILTER (w = 1) AS worst_id, max(variant) FILTER (w = 1) AS worst_variant FROM r GROUP BY ALL""", _DROPS)

@@ -104,7 +104,7 @@ def _views(engine: str) -> dict[str, tuple[str, tuple[str, ...]]]:
         # each component is played by the first box of its slot, labelled by that box's text
         "slot_matches": ("""
             SELECT s.diagram_id, 'K' || CAST(s.slot AS STRING) AS component_id, CAST(s.slot - 1 AS INT) AS idx,
-                   CAST(s.slot AS BIGINT) AS match_order, s.seq AS shape_seq, 'r' || CAST(s.seq AS STRING) AS shape_id,
+                   'label' AS method, 1e0 AS similarity, CAST(s.slot AS BIGINT) AS match_order, s.seq AS shape_seq, 'r' || CAST(s.seq AS STRING) AS shape_id,
                    s.x AS shape_x, s.y AS shape_y, s.w AS shape_w, s.h AS shape_h,
                    s.seq + 1 AS text_seq, 't' || CAST(s.seq AS STRING) AS text_id, s.text,
                    s.x + s.w / 2 - tw / 2 + CASE WHEN s.pk % 9 = 0 THEN 45 ELSE 0 END AS text_x,

@@ -55,7 +55,7 @@ def panel_judges(spark, sf):
 @query("criterion_disagreements", ("panel",), f"""
     , l AS (SELECT diagram_id, criterion_id, judge, arg_max({_SCORE}, event_id) AS score FROM panel GROUP BY ALL)
     SELECT diagram_id, criterion_id, count(*) AS judges, {sql6('min(score)', 'lowest')}, {sql6('max(score)', 'highest')},
-           round_even(max(score) - min(score), 4) AS spread
+           half_even(max(score) - min(score), 4) AS spread
     FROM l GROUP BY ALL HAVING count(*) >= 2 AND max(score) - min(score) >= 0.25""")
 def criterion_disagreements(spark, sf):
     out = P.criterion_disagreements(_panel(spark, sf), order="event_id")
@@ -113,7 +113,7 @@ def median_sample(spark, sf):
 
 
 @query("repeat_noise", ("baseline_scores",), """
-    SELECT id, dimension, round_even(avg(100 * score), 0) AS score, round_even(stddev_pop(100 * score), 1) AS std, count(*) AS runs
+    SELECT id, dimension, half_even(avg(100 * score), 0) AS score, half_even(stddev_pop(100 * score), 1) AS std, count(*) AS runs
     FROM baseline_scores GROUP BY ALL""")
 def repeat_noise(spark, sf):
     return P.repeat_summary(view(spark, sf, "baseline_scores").withColumn("score", 100 * F.col("score")), ["id", "dimension"])

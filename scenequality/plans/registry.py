@@ -24,12 +24,28 @@ def query(name: str, views: tuple[str, ...] = (), oracle: str | None = None, cte
             text = ",\n".join(parts)
             if ctes and not views:
                 text = "WITH " + text
-            ORACLES[name] = f"{text}\n{oracle}"
+            ORACLES[name] = _expand_half_even(f"{text}\n{oracle}")
         return fn
 
     return add
 
 
+def _expand_half_even(sql: str) -> str:
+    """Write ``half_even(expression, digits)`` out as exact decimal printing of the snapped value."""
+    word = "half_even("
+    while word in sql:
+        start = sql.rindex(word)
+        at, depth, comma = start + len(word), 1, None
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[at], 0)
+            if sql[at] == "," and depth == 1:
+                comma = at
+            at += 1
+        inner, digits = sql[start + len(word):comma], sql[comma + 1:at - 1].strip()
+        sql = f"{sql[:start]}(CAST(printf('%.{digits}f', CAST(round({inner}, 9) AS DOUBLE)) AS DOUBLE) + 0.0e0){sql[at:]}"
+    return sql
+
+
 def r6(column: Column, name: str) -> Column:
     """Six decimals, without a negative zero."""
     return (F.round(column, 6) + F.lit(0.0)).alias(name)

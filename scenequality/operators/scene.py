@@ -8,6 +8,7 @@ from scenequality.functions import geometry as G
 from scenequality.functions.geometry import Box, box
 from scenequality.operators.spatial_index import AUTO, at_cell, cell_join, resolve_grid, with_cells
 from scenequality.schemas import GEOMETRY
+from scenequality.session import cut_lineage
 
 BOX = ["x", "y", "w", "h"]
 
@@ -108,11 +109,11 @@ def first_overlaps(left: DataFrame, right: DataFrame, threshold: float, grid=AUT
 def _first_in_drawing(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     a, b = box(prefix="a_"), box(prefix="b_")
     la = _renamed(left.select("diagram_id", "seq", *BOX), "a_")
-    rb = _renamed(right.select("diagram_id", "seq", "element_id", *BOX), "b_")
+    rb = _renamed(right.select("diagram_id", "seq", *BOX), "b_")
     pairs = cell_join(la, rb, (F.col("a_seq") != F.col("b_seq")) & G.intersects(a, b) & (G.overlap_fraction(a, b) > threshold))
-    best = pairs.groupBy("diagram_id", F.col("a_seq").alias("seq")).agg(F.min(F.struct("b_seq", "b_element_id")).alias("_p"))
-    return left.join(best, ["diagram_id", "seq"]).select(
-        *left.columns, F.col("_p.b_seq").alias("partner_seq"), F.col("_p.b_element_id").alias("partner_id"))
+    best = pairs.groupBy("diagram_id", F.col("a_seq").alias("seq")).agg(F.min("b_seq").alias("partner_seq"))
+    names = right.select("diagram_id", F.col("seq").alias("partner_seq"), F.col("element_id").alias("partner_id"))
+    return left.join(best, ["diagram_id", "seq"]).join(names, ["diagram_id", "partner_seq"]).select(*left.columns, "partner_seq", "partner_id")
 
 
 def _first_in_grid(left: DataFrame, right: DataFrame, threshold: float, grid: DataFrame) -> DataFrame:
@@ -139,6 +140,7 @@ def shape_collisions(elements: DataFrame, threshold: float = GEOMETRY["overlap_a
     """Colliding leaf shapes, one row per shape id, with the first shape each collides with."""
     grid = resolve_grid(grid, shapes_of(elements))
     pool = leaves(elements, grid) if shapes is None else shapes
+    pool = cut_lineage(pool)  # both sides of the pair join and the name lookups
     hits = first_overlaps(pool, pool, threshold, grid)
     return hits.groupBy("diagram_id", "element_id").agg(
         F.min(F.struct("partner_seq", "partner_id")).alias("_p")).select(

@@ -16,9 +16,10 @@ from scenequality.schemas import CORRECTNESS, SCORE_KEYS
 TABLES = ("lineitem", "part", "orders", "events", "documents", "labels", "pages", "benchmark", "conversations", "embeddings")
 
 
-def _dialect(engine: str) -> dict[str, str]:
+def _dialect(engine: str) -> dict:
     spark = engine == "spark"
     return {
+        "div": (lambda a, b: f"({a} div {b})") if spark else (lambda a, b: f"({a} // {b})"),
         "sha_text": "sha2(text, 256)" if spark else "sha256(text)",
         "each_k": "LATERAL VIEW explode(sequence(0, 4)) kk AS k" if spark else ", (SELECT unnest(range(0, 5)) AS k) kk",
     }
@@ -43,11 +44,17 @@ def _views(engine: str) -> dict[str, tuple[str, tuple[str, ...]]]:
                         ELSE p_name END AS text,
                    p_name, p_type, CAST(6 + l_linenumber AS DOUBLE) AS font
             FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""", ()),
-        "slots": ("""
-            SELECT diagram_id, slot, min(seq) AS seq, min_by(pk, seq) AS pk, min_by(x, seq) AS x, min_by(y, seq) AS y,
-                   min_by(w, seq) AS w, min_by(h, seq) AS h, min_by(text, seq) AS text, min_by(p_name, seq) AS p_name,
-                   min_by(p_type, seq) AS p_type, min_by(font, seq) AS font
-            FROM box GROUP BY diagram_id, slot""", ("box",)),
+        # the first box of each slot: its columns are decoded from the winning element number
+        "slots": (f"""
+            SELECT f.diagram_id, f.slot, f.seq, f.pk,
+                   CAST((37 * f.pk) % 400 AS DOUBLE) AS x, CAST((53 * f.sk + 97 * f.slot) % 300 AS DOUBLE) AS y,
+                   CAST(20 + f.qty AS DOUBLE) AS w, CAST(20 + 5 * f.slot AS DOUBLE) AS h,
+                   CASE WHEN f.pk % 13 = 0 THEN 'TBD' WHEN f.pk % 17 = 0 THEN upper(p_name) ELSE p_name END AS text,
+                   p_name, p_type, CAST(6 + f.slot AS DOUBLE) AS font
+            FROM (SELECT diagram_id, slot, seq, {d['div']('seq', '800000000')} % 100000000 AS pk,
+                         {d['div']('seq', '800')} % 1000000 AS sk, {d['div']('seq', '8')} % 100 AS qty
+                  FROM (SELECT diagram_id, slot, min(seq) AS seq FROM box GROUP BY diagram_id, slot) m) f
+            JOIN {{part}} ON f.pk = p_partkey""", ("box",)),
         "rects": ("""
             SELECT diagram_id, seq, 'r' || CAST(seq AS STRING) AS element_id, 'rect' AS tag, x, y, w, h,
                    '' AS text, CAST(0 AS DOUBLE) AS font_size FROM box""", ("box",)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scenequality.functions import geometry as G
 from scenequality.functions import labels as L
 from scenequality.operators import beauty as Y, connectors as C, graph as R, matching as M, panel as P, scene as S, spatial_rules as Q
+from scenequality.operators.agreement import spread
 from scenequality.plans.bindings import elements, view
 from scenequality.plans.registry import query, r6, sql6
 from scenequality.schemas import criteria_table
@@ -574,7 +575,8 @@ def _markup_documents(spark, sf):
     UNION ALL SELECT CAST(diagram_id AS VARCHAR) || '/' || CAST(seq AS VARCHAR), 't', 'text', {sql6('x + 4', 'x').replace(' AS x', '')}, {sql6('y + 20 - font', 'y').replace(' AS y', '')},
         {sql6("greatest(font * 6e-1 * length(text), font * 4e-1)", 'w').replace(' AS w', '')}, {sql6('12e-1 * font', 'h').replace(' AS h', '')}, font FROM box""")
 def markup_elements(spark, sf):
-    found, _, _ = markup.scan_markup(_markup_documents(spark, sf))
+    documents = _markup_documents(spark, sf)
+    found, _, _ = markup.scan_markup(spread(documents, "diagram_id"))  # few input files: use every core for parsing
     return found.select("diagram_id", "element_id", "tag", *(r6(F.col(c), c) for c in ("x", "y", "w", "h")), "font_size")
 
 

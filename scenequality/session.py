@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so iterative operators keep short, loss-proof plans."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and read it back.
+
+    Iterative operators keep short plans that survive lost executors, later readers get column
+    pruning and real sizes (so the optimizer can choose joins), and nothing is computed twice.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/scenequality/{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

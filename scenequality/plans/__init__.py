@@ -1,6 +1,6 @@
 """Driver-table bindings, registered queries and their SQL oracles."""
 
-from scenequality.plans import agreement_queries, panel_queries, scene_queries  # noqa: F401
+from scenequality.plans import agreement_queries, panel_queries, scene_queries, study_queries  # noqa: F401
 from scenequality.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

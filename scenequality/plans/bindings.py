@@ -258,3 +258,13 @@ def sessions(writes: DataFrame) -> DataFrame:
     drawings = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint")), lambda k: (k + F.col("session_id")) % 4 == 0)
     done = F.when(F.col("session_id") % 3 == 0, F.to_timestamp(F.lit("2024-01-20 00:00:00")))
     return per.withColumn("assignment", drawings).withColumn("submitted_at", done)
+
+
+def components_of_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scenario per region whose nations follow one another (five nations each)."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = n.groupBy(F.col("r_name").alias("scenario")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("_n"))
+    nodes = F.transform("_n", lambda s: s["n_name"])
+    edges = F.transform(F.sequence(F.lit(1), F.size("_n") - 1), lambda i: F.struct(
+        F.element_at(nodes, i).alias("source"), F.element_at(nodes, i + 1).alias("target")))
+    return rows.select("scenario", nodes.alias("nodes"), edges.alias("edges"))

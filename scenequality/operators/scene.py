@@ -101,7 +101,9 @@ def first_overlaps(left: DataFrame, right: DataFrame, threshold: float, grid=AUT
     grid = resolve_grid(grid, right)
     if grid is None:
         return _first_in_drawing(left, right, threshold)
-    small, large = (lambda d: d.join(grid.select("diagram_id"), "diagram_id", how) for how in ("left_anti", "left_semi"))
+    crowded = grid.select("diagram_id")
+    small = lambda d: d.join(crowded, "diagram_id", "left_anti")
+    large = lambda d: d.join(crowded, "diagram_id", "left_semi")
     return _first_in_drawing(small(left), small(right), threshold).unionByName(
         _first_in_grid(large(left), large(right), threshold, grid))
 

@@ -261,10 +261,10 @@ def sessions(writes: DataFrame) -> DataFrame:
 
 
 def components_of_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scenario per region whose nations follow one another (five nations each)."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = n.groupBy(F.col("r_name").alias("scenario")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("_n"))
-    nodes = F.transform("_n", lambda s: s["n_name"])
+    """A scenario per drawing with at least two slots: its labels in slot order follow one another."""
+    rows = view(spark, sf_dir, "slots").groupBy(F.col("diagram_id").cast("string").alias("scenario")).agg(
+        F.array_sort(F.collect_list(F.struct("slot", "p_name"))).alias("_n")).filter(F.size("_n") > 1)
+    nodes = F.transform("_n", lambda s: s["p_name"])
     edges = F.transform(F.sequence(F.lit(1), F.size("_n") - 1), lambda i: F.struct(
         F.element_at(nodes, i).alias("source"), F.element_at(nodes, i + 1).alias("target")))
     return rows.select("scenario", nodes.alias("nodes"), edges.alias("edges"))

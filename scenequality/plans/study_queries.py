@@ -155,9 +155,9 @@ def fixed_split(spark, sf):
     return D.fixed_split(ids, seed=5)
 
 
-@query("scenario_manifest", (), """
-    WITH n AS (SELECT n_regionkey, array_agg(n_name ORDER BY n_nationkey) AS nodes FROM nation GROUP BY ALL),
-    c AS (SELECT r_name AS scenario, array_to_string(list_transform(range(1, len(nodes)), lambda i: nodes[i] || ' leads to ' || nodes[i + 1]), '; ') || '.' AS caption FROM n JOIN region ON n_regionkey = r_regionkey),
+@query("scenario_manifest", ("slots",), """
+    , n AS (SELECT diagram_id, array_agg(p_name ORDER BY slot) AS nodes FROM slots GROUP BY ALL HAVING count(*) > 1),
+    c AS (SELECT CAST(diagram_id AS VARCHAR) AS scenario, array_to_string(list_transform(range(1, len(nodes)), lambda i: nodes[i] || ' leads to ' || nodes[i + 1]), '; ') || '.' AS caption FROM n),
     v AS (SELECT unnest(['light', 'light', 'dark', 'dark']) AS theme, unnest(['clean', 'missing_arrow', 'clean', 'missing_arrow']) AS pattern)
     SELECT scenario || '-' || theme || '-' || pattern AS id, scenario, theme, pattern, caption, CASE WHEN pattern = 'clean' THEN 'positive' ELSE 'negative' END AS label,
            CASE WHEN pattern = 'clean' THEN '' ELSE pattern END AS defects FROM c, v""")

@@ -134,15 +134,19 @@ def iou(a: Column, b: Column) -> Column:
 
 def normalized_box(location: Column, width: Column, height: Column) -> Column:
     """A usable box in [0, 1], or null; pixel coordinates are scaled when the size is known."""
-    corners = [location[name].cast("double") for name in ("x0", "y0", "x1", "y1")]
-    pixels = F.greatest(*corners) > 1.5
+    raw = F.array(*(location[name].cast("double") for name in ("x0", "y0", "x1", "y1")))
+    pixels = F.array_max(raw) > 1.5
+    size = lambda i: F.when(i % 2 == 0, width).otherwise(height).cast("double")
     clamp = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-    x0, y0, x1, y1 = (
-        clamp(F.when(pixels, c / size.cast("double")).otherwise(c))
-        for c, size in zip(corners, (width, height, width, height)))
-    usable = ~(pixels & (width.isNull() | height.isNull())) & (x1 > x0) & (y1 > y0)
-    return F.when(usable, F.struct(*(half_even(v, 4, False).alias(n) for v, n in
-                                     zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1")))))
+    scaled = F.transform(raw, lambda c, i: clamp(F.when(pixels, c / size(i)).otherwise(c)))
+    unknown = F.coalesce(pixels, F.lit(False)) & (width.isNull() | height.isNull())
+
+    def settle(corners):  # bound once: the corners are named several times below
+        rounded = F.transform(corners, lambda v: half_even(v, 4, False))
+        usable = ~unknown & (F.get(corners, F.lit(2)) > F.get(corners, F.lit(0))) & (F.get(corners, F.lit(3)) > F.get(corners, F.lit(1)))
+        return F.when(usable, F.struct(*(F.get(rounded, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1")))))
+
+    return F.get(F.transform(F.array(scaled), settle), F.lit(0))
 
 
 def normalized_location(b: Box, width: Column, height: Column) -> Column:

@@ -176,7 +176,7 @@ def overlap_metric(collisions: DataFrame, pool: DataFrame) -> DataFrame:
 def text_overflow(elements: DataFrame, grid=AUTO) -> DataFrame:
     """Every text with ``issue``: 'overflow' (leaves its box), 'collision' (free text on another text) or null."""
     grid = resolve_grid(grid, elements)
-    placed = smallest_container(elements, grid)
+    placed = cut_lineage(smallest_container(elements, grid))  # the inside and the free texts
     t, s = box(prefix="text_"), box(prefix="shape_")
     inside = placed.filter(F.col("shape_seq").isNotNull()).select(
         "diagram_id", "text_id", F.col("shape_id").alias("other_id"),

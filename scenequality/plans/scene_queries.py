@@ -10,7 +10,9 @@ from scenequality.operators import beauty as Y, connectors as C, graph as R, mat
 from scenequality.operators.agreement import spread
 from scenequality.plans.bindings import elements, view
 from scenequality.plans.registry import query, r6, sql6
+from scenequality.operators.spatial_index import drawing_grid
 from scenequality.schemas import criteria_table
+from scenequality.session import cut_lineage
 from scenequality.sources import markup
 
 # --- oracle fragments ---
@@ -134,12 +136,14 @@ def scene_overall_score(spark, sf):
     shapes = _els(spark, sf, "rects", "backgrounds")
     texts = _els(spark, sf, "texts", "arrow_texts")
     both = _els(spark, sf, "rects", "backgrounds", "texts", "arrow_texts")
-    pool = S.leaves(shapes)
+    grid = drawing_grid(both)
+    pool = cut_lineage(S.leaves(shapes, grid))
+    played = cut_lineage(matches(spark, sf))
     parts = {
-        ("layout.overlap", "layout"): S.overlap_metric(S.shape_collisions(shapes, shapes=pool), pool),
-        ("layout.canvas", "layout"): S.flag_metric(S.canvas_units(els, canvas(spark, sf), matches(spark, sf)), "outside"),
+        ("layout.overlap", "layout"): S.overlap_metric(S.shape_collisions(shapes, shapes=pool, grid=grid), pool),
+        ("layout.canvas", "layout"): S.flag_metric(S.canvas_units(els, canvas(spark, sf), played), "outside"),
         ("legibility.minimum_font", "legibility"): S.flag_metric(S.font_checks(texts, canvas(spark, sf)), "small"),
-        ("legibility.overflow", "legibility"): S.overflow_metric(S.text_overflow(both)),
+        ("legibility.overflow", "legibility"): S.overflow_metric(S.text_overflow(both, grid)),
     }
     rows = None
     for (criterion, dimension), counts in parts.items():

@@ -28,10 +28,9 @@ def local_session(cpus: str | int = 8, name: str = "scenequality", shuffle: int
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only where none is named."""
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         folder = tempfile.mkdtemp(prefix="scenequality-checkpoint-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 

@@ -8,25 +8,33 @@ characters are encoded whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
+import string
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
+_ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+_CASED = re.compile("[\u0130\u03a3]")  # the two letters whose lower case is longer or depends on their place
+_EDGES = ("  ", "\n\n", " \n", "\n ")
 
-_ODD = re.compile(
-    r"[^\S \n]|[\x00-\x08\x0e-\x1f\x7f-\x9f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]|\s\s|\A\s|\s\Z"
-)
+
+def _plain(text: str) -> bool:
+    """Whether all white space is single spaces and line breaks between visible characters."""
+    ends = text[:1] + text[-1:]
+    return not (" " in ends or "\n" in ends or any(e in text for e in _EDGES) or _ODD.search(text))
 
 
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
     ``spaced`` is true where a space belongs to the word after it (byte-level vocabularies) and false where
-    white space is dropped. At most ``words`` words are remembered.
+    white space and case are dropped. About ``words`` words are remembered; beyond that the half that came first
+    stays, which holds the frequent ones. A word of letters with punctuation behind it is put together from both.
     """
 
-    def __init__(self, path: str, spaced: bool, words: int = 300_000) -> None:
+    def __init__(self, path: str, spaced: bool, words: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,23 +44,38 @@ class WordEncoder:
         self._words = words
         self._first: dict[str, bytes] = {}
         self._next: dict[str, bytes] = {}
+        self._tails: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _learn(self, known: dict[str, bytes], words: set[str], before: str = "") -> None:
         new = list(words.difference(known))
         if len(known) + len(new) > self._words:
+            kept = dict(itertools.islice(known.items(), self._words // 2))
             known.clear()
-            new = list(words)
-        known.update(zip(new, self.whole([before + w for w in new]), strict=True))
+            known.update(kept)
+            new = list(words.difference(known))
+        plain = [w for w in new if w[-1:].isalnum()]
+        ended = {}
+        for word in set(new).difference(plain):
+            stem = word.rstrip(string.punctuation)
+            if stem.isalpha() and stem != word:
+                ended[word] = stem, word[len(stem) :]
+            else:
+                plain.append(word)
+        asked = list({stem for stem, _ in ended.values()}.union(plain).difference(known))
+        known.update(zip(asked, self.whole([before + w for w in asked] if before else asked), strict=True))
+        tails = list({tail for _, tail in ended.values()}.difference(self._tails))
+        self._tails.update(zip(tails, self.whole(tails), strict=True))
+        known.update({word: known[stem] + self._tails[tail] for word, (stem, tail) in ended.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i: t for i, t in enumerate(texts) if t and _ODD.search(t)}
+        odd = {i: t for i, t in enumerate(texts) if t and not (_plain(t) and (self._spaced or not _CASED.search(t)))}
         whole = dict(zip(odd, self.whole(list(odd.values())), strict=True))
         if not self._spaced:
-            split = [() if i in odd else t.split() for i, t in enumerate(texts)]
+            split = [() if i in odd else t.lower().split() for i, t in enumerate(texts)]
             self._learn(self._first, set().union(*split))
             get = self._first.__getitem__
             return [whole[i] if i in odd else b"".join(map(get, words)) for i, words in enumerate(split)]

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scenequality.llm.common import table
+from scenequality.llm.url_templates import Rule
 
 BYTE_BPE_END = 2
 WORD_BPE_END = 1
+URL_RULES = [
+    Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"), Rule("net", "/fr/", "block"),
+]
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +22,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.sentence_pieces import decode, encode
+
+    path = vocabulary("piece_bpe_32k.model")
+    found = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenequality.llm.token_store import read_tokens, write_tokens
 
@@ -29,5 +46,62 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), WORD_BPE_END)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op8_best_fit_packing)}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.warc import read_warc, write_warc
+
+    found = read_warc(write_warc(table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.language import held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), docs)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.tiff import text_media
+
+    return text_media(table(spark, sf_dir, "documents"))
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.url_templates import filter_urls
+
+    found = filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.pii import KINDS, count_of, find_personal_data, listed
+
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    counts = [count_of(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentence_pieces, op2_token_store, op3_warc, op4_neighbours, op5_language, op6_tiff, op7_url_templates, op8_best_fit_packing,
+        op9_personal_data, op10_near_duplicates,
+    )
+}
 ORACLES: dict[str, str] = {}

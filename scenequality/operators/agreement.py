@@ -201,7 +201,7 @@ def validation_metrics(ids: DataFrame, humans: DataFrame, judged: DataFrame, dim
 # --- T10, T11 ---
 def numbered(errors: DataFrame, order: str = "id") -> DataFrame:
     """Dense 0-based position of each drawing (ordered by a numeric id)."""
-    return positions(errors, [], F.col(order), [order])
+    return positions(errors, [], [order])
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -275,6 +275,9 @@ def side_by_side(metrics: DataFrame, versions: list[str], higher: list[str]) ->
     return wide.withColumn("best", F.when(F.col("metric").isin(*higher), pick(F.greatest)).otherwise(pick(F.least)))
 
 
-def rank_candidates(overall: DataFrame, n: int = 200) -> DataFrame:
-    """Best candidates by overall score, ties by id."""
-    return top_n(overall, [], [F.desc("overall"), F.asc("diagram_id")], n, ["diagram_id"])
+def rank_candidates(overall: DataFrame, n: int | None = None) -> DataFrame:
+    """Rank of every candidate by overall score, ties by id; the best ``n`` if a caller wants a report of them."""
+    order = [F.desc("overall"), F.asc("diagram_id")]
+    if n is not None:
+        return top_n(overall, [], order, n)
+    return positions(overall, [], order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))

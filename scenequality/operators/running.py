@@ -1,18 +1,20 @@
 """Running totals, positions and top-n that survive a group holding most of the rows.
 
 A plain window puts a whole group into one task. A partial count first asks whether any group has
-more than ``CROWDED`` rows. If none has, a plain window is planned. Otherwise the crowded groups are
-cut into ordered buckets: one window runs inside (group, bucket), a second one over the few bucket
-totals, and a left join adds the two. Results equal the plain window. Give these helpers a
-materialised input (``cut_lineage``) when it is expensive: they read it more than once.
+more than ``CROWDED`` rows. If none has, a plain window is planned. Otherwise the rows are dealt out by
+ranges of (group, full order), whatever the values look like: one window runs inside (group, range), a
+second one over the few range totals, and a left join adds the two. Results equal the plain window. Give
+these helpers a materialised input (``cut_lineage``) when it is expensive: they read it more than once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scenequality.session import cut_lineage
+
 CROWDED = 50_000
-BUCKETS = 4096
+GROUP_LIMIT = 1000  # ranks up to which Spark limits each group before it shuffles
 
 
 def _join_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -27,20 +29,19 @@ def _join_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inn
     return df.join(renamed, match, how).drop(*(f"_k_{k}" for k in keys))
 
 
-def _cut(df: DataFrame, keys: list[str], value: Column, crowded: int) -> DataFrame:
-    """Add ``_bucket``: 0 in ordinary groups, a non-decreasing function of ``value`` in crowded ones."""
-    cut = df.withColumn("_cutv", value.cast("double"))
-    stats = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_cutv").alias("_lo"), F.max("_cutv").alias("_hi"))
-    stats = stats.filter((F.col("_n") > crowded) & (F.col("_hi") > F.col("_lo"))).drop("_n")
-    share = (F.col("_cutv") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)) + 1
-    joined = _join_keys(cut, stats, keys, "left")
-    return joined.withColumn("_bucket", F.coalesce(bucket, F.lit(0)).cast("int")).drop("_cutv", "_lo", "_hi")
+def _cut(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Add ``_bucket``: the number of the range of (keys, order) that a row falls into.
+
+    Ranges are as even as their sampled bounds, for constant, tied or outlying values too as long as ``order``
+    tells rows apart. They are written once, because both readers must see the same numbers.
+    """
+    ranged = df.repartitionByRange(*keys, *order)
+    return cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id()))
 
 
 def _with_offsets(local: DataFrame, keys: list[str], weight: Column) -> DataFrame:
-    """Add ``_offset``: the weight in earlier buckets of the same crowded group."""
-    totals = local.filter(F.col("_bucket") > 0).groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_total"))
+    """Add ``_offset``: the weight in earlier ranges of the same group."""
+    totals = local.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_bucket", F.sum("_total").over(earlier).alias("_offset"))
     return _join_keys(local, offsets, [*keys, "_bucket"], "left")
@@ -61,20 +62,19 @@ def running_before(df: DataFrame, keys: list[str], value: str, weight: str, out:
     if crowded is None or not has_crowded(df, keys, crowded):
         plain = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(weight).over(plain), F.lit(0)))
-    cut = _cut(df, keys, F.col(value), crowded)
+    cut = _cut(df, keys, [value])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     joined = _with_offsets(local, keys, F.col(weight))
     return joined.withColumn(out, F.col("_local") + F.coalesce("_offset", F.lit(0))).drop("_bucket", "_local", "_offset")
 
 
-def positions(df: DataFrame, keys: list[str], value: Column, order: list, out: str = "position",
-              crowded: int = CROWDED) -> DataFrame:
-    """Add ``out``: 0-based position inside the group by ``order``; numeric ``value`` must not decrease along it."""
+def positions(df: DataFrame, keys: list[str], order: list, out: str = "position", crowded: int = CROWDED) -> DataFrame:
+    """Add ``out``: 0-based position inside the group by ``order``."""
     if not has_crowded(df, keys, crowded):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
         return df.withColumn(out, place.cast("bigint"))
-    cut = _cut(df, keys, value, crowded)
+    cut = _cut(df, keys, order)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = cut.withColumn("_local", F.row_number().over(inside) - 1)
     joined = _with_offsets(local, keys, F.lit(1))
@@ -82,13 +82,13 @@ def positions(df: DataFrame, keys: list[str], value: Column, order: list, out: s
         "_bucket", "_local", "_offset")
 
 
-def top_n(df: DataFrame, keys: list[str], order: list, n: int, salt_on: list[str], out: str = "rank",
-          salts: int = 64) -> DataFrame:
-    """First ``n`` rows of each group: a salted pass leaves at most ``salts * n`` rows for the last one."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
-    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    kept = salted.withColumn(out, F.row_number().over(first)).filter(F.col(out) <= n).drop("_salt")
-    return kept.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= n)
+def top_n(df: DataFrame, keys: list[str], order: list, n: int, out: str = "rank") -> DataFrame:
+    """First ``n`` rows of each group. For small ``n`` Spark keeps that many per group and task before it shuffles;
+    larger ones are ranked by ranges."""
+    if n > GROUP_LIMIT:
+        placed = positions(df, keys, order, out)
+        return placed.withColumn(out, (F.col(out) + 1).cast("int")).filter(F.col(out) <= n)
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= n)
 
 
 PRIME = 2147483647  # largest 31-bit prime: products of two states fit a BIGINT

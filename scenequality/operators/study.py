@@ -12,7 +12,7 @@ from scenequality.schemas import LEVELS, SCORE_KEYS
 def seeded_position(df: DataFrame, keys: list[str], seed: int, ident: Column, out: str = "position") -> DataFrame:
     """Position of each row in a repeatable shuffle of its group."""
     drawn = df.withColumn("_u", mix(ident, seed=seed)).withColumn("_i", ident)
-    return positions(drawn, keys, F.col("_u"), ["_u", "_i"], out).drop("_u", "_i")
+    return positions(drawn, keys, ["_u", "_i"], out).drop("_u", "_i")
 
 
 # --- D1 ---
@@ -77,7 +77,7 @@ def level_counts(items: DataFrame, by: list[str]) -> DataFrame:
 # --- D3 ---
 def deal_sets(items: DataFrame, sets: int, strata: list[str] = ("difficulty", "label"), row: str = "row") -> DataFrame:
     """Set number 1..``sets`` dealt in row order inside each stratum."""
-    placed = positions(items, list(strata), F.col(row), [row], "_k")
+    placed = positions(items, list(strata), [row], "_k")
     return placed.withColumn("set", (F.col("_k") % sets + 1).cast("int")).drop("_k")
 
 
@@ -92,8 +92,8 @@ def lease_sets(free: DataFrame, waiting: DataFrame) -> DataFrame:
 
     ``free``: (set_number); ``waiting``: (participant_no, waiting_since as a number).
     """
-    sets = positions(free, [], F.col("set_number"), ["set_number"], "_k")
-    people = positions(waiting, [], F.col("waiting_since"), ["waiting_since", "participant_no"], "_k")
+    sets = positions(free, [], ["set_number"], "_k")
+    people = positions(waiting, [], ["waiting_since", "participant_no"], "_k")
     return people.join(sets, "_k", "left").drop("_k")
 
 
@@ -112,7 +112,7 @@ def fixed_split(ids: DataFrame, seed: int, mini: int = 20) -> DataFrame:
     number = F.substring("id", 3, 20).cast("bigint")
     name = (F.when(number <= 100, F.lit("training")).when(number <= 200, F.lit("validation")).otherwise(F.lit("test")))
     split = ids.withColumn("split", name).withColumn("_u", mix(number, seed=seed))
-    chosen = top_n(split.filter("split = 'validation'"), [], ["_u", "id"], mini, ["id"]).select("id", F.lit(True).alias("mini"))
+    chosen = top_n(split.filter("split = 'validation'"), [], ["_u", "id"], mini).select("id", F.lit(True).alias("mini"))
     return split.join(chosen, "id", "left").select("id", "split", F.coalesce("mini", F.lit(False)).alias("mini"))
 
 
@@ -132,12 +132,12 @@ def stratified_pick(items: DataFrame, per_level: int, seed: int, min_boxes: dict
     level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("difficulty"))
     keyed = good.withColumn("_u", mix(F.col("item_no"), seed=seed)).withColumn("_l", level).filter("_l > 0")
     one = keyed.groupBy("article").agg(F.min(F.struct("_l", "_u", "item_no", "id", "difficulty")).alias("_p")).select("article", "_p.*")
-    return top_n(one, ["difficulty"], ["_u", "item_no"], per_level, ["item_no"]).select("id", "article", "difficulty", "rank")
+    return top_n(one, ["difficulty"], ["_u", "item_no"], per_level).select("id", "article", "difficulty", "rank")
 
 
 def first_per_level(items: DataFrame, n: int) -> DataFrame:
     """W8: first ``n`` ids of each difficulty."""
-    return top_n(items, ["difficulty"], ["id"], n, ["id"])
+    return top_n(items, ["difficulty"], ["id"], n)
 
 
 # --- K1, J21, W6 ---

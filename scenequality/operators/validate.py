@@ -93,7 +93,8 @@ def duplicate_content(rows: DataFrame, content: str = "sha256", row: str = "row"
 
 # --- V7, V12, V14 ---
 def in_range(ident: Column, first: int | None, start: int = 1) -> Column:
-    return F.substring(ident, 3, 20).cast("bigint").between(start, first or 10 ** 6)
+    number = F.substring(ident, 3, 20).cast("bigint")
+    return number >= start if first is None else number.between(start, first)
 
 
 def approval_open(listed: DataFrame, reviews: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -169,7 +169,7 @@ def version_side_by_side(spark, sf):
 @query("candidate_ranking", ("scored",), """
     , o AS (SELECT id AS diagram_id, avg(judge) AS overall FROM scored GROUP BY ALL)
     SELECT diagram_id, round(overall, 6) + 0.0e0 AS overall, CAST(row_number() OVER (ORDER BY overall DESC, diagram_id) AS INTEGER) AS rank
-    FROM o ORDER BY overall DESC, diagram_id LIMIT 200""")
+    FROM o""")
 def candidate_ranking(spark, sf):
     o = _scored(spark, sf).groupBy(F.col("id").alias("diagram_id")).agg(F.avg("judge").alias("overall"))
     return A.rank_candidates(o).select("diagram_id", r6(F.col("overall"), "overall"), "rank")

@@ -3,8 +3,9 @@
 The tables hold no drawings, so each view derives some with integer arithmetic that any SQL engine
 repeats exactly: an order is a drawing, a line item is a labelled box, consecutive line numbers are
 joined by arrows, and so on. The text is plain SQL for both Spark and the oracle engine; only the
-few functions in ``_dialect`` differ. No view orders or gathers a whole drawing: element order is a
-number built from the row's own columns, and first-of-slot rows are partial minima.
+few functions in ``_dialect`` differ. Elements are numbered inside their own order, so no number
+depends on how large a key can get. To stage drawings with missing arrows, ``links`` leaves out every
+sixth part, and ``arrow_texts`` labels every fifth link; these are fixtures, not samples.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ def _views(engine: str) -> dict[str, tuple[str, tuple[str, ...]]]:
         # --- drawings from lineitem ---
         "box": ("""
             SELECT l_orderkey AS diagram_id, l_linenumber AS slot, l_partkey AS pk, l_suppkey AS sk,
-                   CAST(l_linenumber AS BIGINT) * 80000000000000000 + l_partkey * 800000000 + l_suppkey * 800
-                     + CAST(l_quantity AS BIGINT) * 8 AS seq,
+                   CAST(8 * row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)
+                     AS BIGINT) AS seq,
+                   row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS nth,
                    CAST((37 * l_partkey) % 400 AS DOUBLE) AS x,
                    CAST((53 * l_suppkey + 97 * l_linenumber) % 300 AS DOUBLE) AS y,
                    20 + l_quantity AS w, CAST(20 + 5 * l_linenumber AS DOUBLE) AS h,
@@ -44,17 +46,9 @@ def _views(engine: str) -> dict[str, tuple[str, tuple[str, ...]]]:
                         ELSE p_name END AS text,
                    p_name, p_type, CAST(6 + l_linenumber AS DOUBLE) AS font
             FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""", ()),
-        # the first box of each slot: its columns are decoded from the winning element number
-        "slots": (f"""
-            SELECT f.diagram_id, f.slot, f.seq, f.pk,
-                   CAST((37 * f.pk) % 400 AS DOUBLE) AS x, CAST((53 * f.sk + 97 * f.slot) % 300 AS DOUBLE) AS y,
-                   CAST(20 + f.qty AS DOUBLE) AS w, CAST(20 + 5 * f.slot AS DOUBLE) AS h,
-                   CASE WHEN f.pk % 13 = 0 THEN 'TBD' WHEN f.pk % 17 = 0 THEN upper(p_name) ELSE p_name END AS text,
-                   p_name, p_type, CAST(6 + f.slot AS DOUBLE) AS font
-            FROM (SELECT diagram_id, slot, seq, {d['div']('seq', '800000000')} % 100000000 AS pk,
-                         {d['div']('seq', '800')} % 1000000 AS sk, {d['div']('seq', '8')} % 100 AS qty
-                  FROM (SELECT diagram_id, slot, min(seq) AS seq FROM box GROUP BY diagram_id, slot) m) f
-            JOIN {{part}} ON f.pk = p_partkey""", ("box",)),
+        # the first box of each slot
+        "slots": ("""
+            SELECT diagram_id, slot, seq, pk, x, y, w, h, text, p_name, p_type, font FROM box WHERE nth = 1""", ("box",)),
         "rects": ("""
             SELECT diagram_id, seq, 'r' || CAST(seq AS STRING) AS element_id, 'rect' AS tag, x, y, w, h,
                    '' AS text, CAST(0 AS DOUBLE) AS font_size FROM box""", ("box",)),
@@ -253,11 +247,12 @@ def rating_events(writes: DataFrame) -> DataFrame:
 
 
 def sessions(writes: DataFrame) -> DataFrame:
-    """A session per user: every fourth of 100 drawings assigned, every third session submitted."""
-    per = writes.groupBy("session_id").agg(F.min("updated_at").alias("started_at"))
-    drawings = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(99).cast("bigint")), lambda k: (k + F.col("session_id")) % 4 == 0)
+    """A session per user: every fourth drawing up to the largest rated one assigned, every third session submitted."""
+    last = F.coalesce(writes.agg(F.max("diagram_id")).scalar(), F.lit(0)).cast("bigint")
+    per = writes.groupBy("session_id").agg(F.min("updated_at").alias("started_at")).withColumn("_last", last)
+    drawings = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("_last")), lambda k: (k + F.col("session_id")) % 4 == 0)
     done = F.when(F.col("session_id") % 3 == 0, F.to_timestamp(F.lit("2024-01-20 00:00:00")))
-    return per.withColumn("assignment", drawings).withColumn("submitted_at", done)
+    return per.withColumn("assignment", drawings).withColumn("submitted_at", done).drop("_last")
 
 
 def components_of_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from scenequality.functions import labels as L
 from scenequality.operators import judging as J, study as D, validate as V
 from scenequality.plans.bindings import components_of_chain, rating_events, sessions, view
-from scenequality.plans.registry import mix_items, query, r6
+from scenequality.plans.registry import mix_items, query, r6, sql6
 from scenequality.schemas import SCORE_KEYS
+from scenequality.session import checkpoint_folder
 from scenequality.sources.readers import combine_hashes
 from scenequality.streaming import ratings as E
 
@@ -191,6 +192,54 @@ def rating_upsert(spark, sf):
     return current.select("session_id", "diagram_id", F.col("scores")["layout"].alias("layout"), "duration_ms", "complete")
 
 
+def _streamed(spark, sf):
+    """The writes as a stream of several batches, and a fresh folder for a stream's results and checkpoint."""
+    folder = f"{checkpoint_folder(spark)}/scenequality/stream-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3, "event_id").write.parquet(f"{folder}/arriving")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
+    writes = stream.selectExpr(
+        "event_id", "user_id AS session_id", "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS diagram_id",
+        "CAST(floor(value) AS BIGINT) AS v", "CAST(floor(value * 1000) AS BIGINT) AS duration_ms", "ts AS updated_at",
+        "event_id % 37 = 0 AS too_high", "event_id % 41 = 0 AS unfinished")
+    return writes, folder
+
+
+@query("streamed_rating_upsert", ("writes",), """
+    SELECT session_id, diagram_id, CAST(v % 10 + 1 AS INTEGER) AS layout, duration_ms, complete FROM cur""", _REVIEW)
+def streamed_rating_upsert(spark, sf):
+    """rating_upsert as a stream: reviewed, folded with one state row per key, saved batch by batch, read back."""
+    writes, folder = _streamed(spark, sf)
+    people = sessions(view(spark, sf, "writes"))
+    E.write_upserts(E.current_ratings(rating_events(writes), people), f"{folder}/ratings", f"{folder}/checkpoint").awaitTermination()
+    current = E.saved_ratings(spark, f"{folder}/ratings")
+    return current.select("session_id", "diagram_id", F.col("scores")["layout"].alias("layout"), "duration_ms", "complete")
+
+
+@query("streamed_unique_scores", ("writes",), """
+    SELECT DISTINCT session_id AS id, CAST(v % 5 AS VARCHAR) AS dimension, CAST(1 AS BIGINT) AS scores FROM writes""")
+def streamed_unique_scores(spark, sf):
+    """How often each (id, dimension) stands in an appended log that refuses repeats of earlier batches."""
+    writes, folder = _streamed(spark, sf)
+    scores = writes.select(F.col("session_id").alias("id"), (F.col("v") % 5).cast("string").alias("dimension"),
+                           F.col("v").alias("score"), F.col("updated_at").alias("scored_at"))
+    E.write_unique_scores(scores, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/log").groupBy("id", "dimension").agg(F.count(F.lit(1)).alias("scores"))
+
+
+@query("streamed_progress", ("writes",), f"""
+    SELECT session_id, count(*) AS writes, count(*) FILTER (NOT unfinished) AS complete_writes, CAST(CAST(max(updated_at) AS DATE) AS VARCHAR) AS last_day
+    FROM rv WHERE reason IS NULL GROUP BY ALL""", _REVIEW)
+def streamed_progress(spark, sf):
+    """Live counters per session over the accepted writes of a stream."""
+    writes, folder = _streamed(spark, sf)
+    people = sessions(view(spark, sf, "writes"))
+    good = E.review_events(rating_events(writes), people).filter(F.col("reason").isNull())
+    E.write_latest(E.progress(good), f"{folder}/progress", f"{folder}/checkpoint").awaitTermination()
+    last = F.to_date("last_write").cast("string").alias("last_day")
+    return E.latest(spark, f"{folder}/progress", ["session_id"]).select("session_id", "writes", "complete_writes", last)
+
+
 @query("study_progress", ("writes",), """
     , p AS (SELECT count(DISTINCT session_id) AS participants, count(DISTINCT CASE WHEN session_id % 3 = 0 THEN session_id END) AS completed FROM writes)
     SELECT any_value(participants) AS participants, any_value(completed) AS completed, count(*) AS saved, count(*) FILTER (complete) AS rated FROM cur, p""", _REVIEW)
@@ -200,7 +249,7 @@ def study_progress(spark, sf):
 
 
 _ASSIGNED = """asg AS (SELECT session_id, k AS diagram_id, row_number() OVER (PARTITION BY session_id ORDER BY k) AS presentation_order
-    FROM (SELECT DISTINCT session_id FROM writes), (SELECT unnest(range(0, 100)) AS k) WHERE (k + session_id) % 4 = 0)"""
+    FROM (SELECT DISTINCT session_id FROM writes), (SELECT unnest(range(0, (SELECT max(diagram_id) + 1 FROM writes))) AS k) WHERE (k + session_id) % 4 = 0)"""
 
 
 @query("ratings_export", ("writes",), """
@@ -280,15 +329,14 @@ def request_reuse(spark, sf):
     return J.fan_out(per, calls).groupBy("dimension").agg(F.sum("n").alias("requests"), F.count(F.lit(1)).alias("calls"))
 
 
-def _scripted(prompt):
-    return json.dumps({"score": len(prompt) % 10 + 1})
-
-
-@query("scripted_judging")
+@query("scripted_judging", (), """
+    , s AS (SELECT dimension, length('Rate ' || dimension || ' from 1 to 10.' || chr(10) || 'Caption:' || chr(10) || text) % 10 + 1 AS score FROM documents, """ + _DIMS + """)
+    SELECT dimension, count(*) AS requests, """ + sql6("avg(score)", "mean_score") + """ FROM s GROUP BY ALL""", _REQUESTS)
 def scripted_judging(spark, sf):
-    """A scripted judge over the distinct prompts, copied to every request (Python call: rows only)."""
+    """Answers of a fixed rule over the distinct prompts, as JSON text, parsed and copied to every request."""
     rq = _requests(spark, sf)
-    answers = J.judge(J.distinct_requests(rq), _scripted, "scripted")
+    answer = F.to_json(F.struct((F.char_length("prompt") % 10 + 1).alias("score"))).alias("answer")
+    answers = J.distinct_requests(rq).select("request_key", answer)
     scores = answers.select("request_key", F.get_json_object("answer", "$.score").cast("int").alias("score"))
     return J.fan_out(rq.select("diagram_id", "dimension", "request_key"), scores).groupBy("dimension").agg(
         F.count(F.lit(1)).alias("requests"), r6(F.avg("score"), "mean_score"))

@@ -58,10 +58,12 @@ def summary_document(stats: DataFrame, by: list[str]) -> DataFrame:
 # --- K4 ---
 def score_matrix(scores: DataFrame, baseline: str, dimensions=CORRECTNESS) -> DataFrame:
     """Variant x dimension scores with their change against the baseline variant."""
-    wide = scores.groupBy("variant").pivot("dimension", list(dimensions)).agg(F.max("score"))
+    wide = scores.groupBy("variant").pivot("dimension", list(dimensions)).agg(
+        F.when(F.count("score") > 1, F.raise_error(F.lit("a variant has two scores for a dimension")).cast("double"))
+        .otherwise(F.max("score").cast("double")))
     base = wide.filter(F.col("variant") == baseline).select(*(F.col(d).alias(f"_{d}") for d in dimensions))
     from scenequality.operators.running import _join_keys
-    both = _join_keys(wide, base.limit(1), [])
+    both = _join_keys(wide, base, [])
     return both.select("variant", *dimensions, *((F.col(d) - F.col(f"_{d}")).alias(f"delta_{d}") for d in dimensions))
 
 

@@ -49,22 +49,31 @@ def current_ratings(events: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.withColumn("complete", rating_complete(F.col("scores")))
 
 
-def write_upserts(current: DataFrame, path: str, checkpoint: str):
-    """Write each batch's changed ratings under its batch number; a repeated batch overwrites itself."""
+def write_latest(rows: DataFrame, path: str, checkpoint: str):
+    """Write each batch's changed rows under its batch number; a repeated batch overwrites itself."""
 
-    def save(rows, batch):
-        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    def save(changed, batch):
+        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    return current.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(
+    return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(
         availableNow=True).foreachBatch(save).start()
 
 
-def saved_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Latest saved state per key."""
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Last saved row of each key."""
     rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    others = [c for c in rows.columns if c not in (*KEYS, "batch")]
-    latest = rows.groupBy(*KEYS).agg(F.max("batch").alias("batch"))
-    return rows.join(latest, [*KEYS, "batch"], "left_semi").select(*KEYS, *others)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [*keys, "batch"], "left_semi").select(*keys, *others)
+
+
+def write_upserts(current: DataFrame, path: str, checkpoint: str):
+    return write_latest(current, path, checkpoint)
+
+
+def saved_ratings(spark: SparkSession, path: str) -> DataFrame:
+    """Latest saved state per rating."""
+    return latest(spark, path, KEYS)
 
 
 # --- E3 ---
@@ -89,9 +98,25 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 # --- E4, E5 ---
-def unique_scores(stream: DataFrame, watermark: str = "30 days") -> DataFrame:
-    """First score per (id, dimension) within the watermark; later repeats are dropped from the stream."""
-    return stream.withWatermark("scored_at", watermark).dropDuplicatesWithinWatermark(["id", "dimension"])
+def write_unique_scores(stream: DataFrame, path: str, checkpoint: str):
+    """Append the earliest score per (id, dimension) that the log at ``path`` does not hold yet.
+
+    Every batch is checked against the whole saved log, so a repeat is refused however late it comes. A
+    repeated batch reads the log without itself and overwrites itself.
+    """
+    keys = ["id", "dimension"]
+
+    def save(rows, batch):
+        rest = [c for c in rows.columns if c not in keys]
+        first = rows.groupBy(*keys).agg(F.min(F.struct("scored_at", *(c for c in rest if c != "scored_at"))).alias("_f"))
+        fresh = first.select(*keys, *(F.col(f"_f.{c}").alias(c) for c in rest))
+        if batch:
+            log = rows.sparkSession.read.parquet(path).filter(F.col("batch") < batch)
+            fresh = fresh.join(log.select(*keys), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).foreachBatch(save).start()
 
 
 def append_new_scores(stream: DataFrame, path: str, checkpoint: str):

@@ -52,7 +52,7 @@ def test_auc(spark):
 def test_crowded_groups_rank_alike(spark):
     df = spark.range(3000).select(F.lit("g").alias("k"), (F.col("id") * 7919 % 3001).cast("double").alias("v"), (F.col("id") % 5).alias("w"))
     assert rows(running_before(df, ["k"], "v", "w", "b")) == rows(running_before(df, ["k"], "v", "w", "b", crowded=100))
-    assert rows(positions(df, ["k"], F.col("v"), ["v"])) == rows(positions(df, ["k"], F.col("v"), ["v"], crowded=100))
+    assert rows(positions(df, ["k"], ["v"])) == rows(positions(df, ["k"], ["v"], crowded=100))
 
 
 def test_resampling_is_repeatable(spark):

@@ -10,9 +10,13 @@ sixth part, and ``arrow_texts`` labels every fifth link; these are fixtures, not
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scenequality.schemas import CORRECTNESS, SCORE_KEYS
+from scenequality.session import cut_lineage
 
 TABLES = ("lineitem", "part", "orders", "events", "documents", "labels", "pages", "benchmark", "conversations", "embeddings")
 
@@ -195,13 +199,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Views that one query may read many times; from the second reading on they are written once and shared.
+SHARED = ("slots", "box")
+_scope: ContextVar[dict | None] = ContextVar("shared views of the running query", default=None)
+
+
+@contextmanager
+def sharing():
+    """Share views inside one call of a query; nothing outlives the call, so later calls see changed tables."""
+    token = _scope.set({})
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def _shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    scope = _scope.get()
+    if scope is None:
+        return None
+    if name not in scope:
+        scope[name] = None
+        return None
+    if scope[name] is None:
+        scope[name] = cut_lineage(_view(spark, sf_dir, name))
+    return scope[name]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived views as a DataFrame."""
-    views = _views("spark")
+    found = _shared(spark, sf_dir, name) if name in SHARED else None
+    return _view(spark, sf_dir, name) if found is None else found
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    views = dict(_views("spark"))
+    used = {}
+    for shared in SHARED:  # the widest first, as what it needs is then no longer read
+        if shared != name and shared in _closure(views, name, []):
+            found = _shared(spark, sf_dir, shared)
+            if found is not None:
+                views[shared] = ("SELECT * FROM {_%s}" % shared, ())
+                used[f"_{shared}"] = found
     order = _closure(views, name, [])
     body = ",\n".join(f"{n} AS ({views[n][0]})" for n in order)
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{%s}" % t in body}
-    return spark.sql(f"WITH {body} SELECT * FROM {name}", **used)
+    used |= {t: table(spark, sf_dir, t) for t in TABLES if "{%s}" % t in body}
+    return spark.sql(f"WITH {body} SELECT * FROM {name}", **{k: v for k, v in used.items() if "{%s}" % k in body})
 
 
 # --- typed tables for the operators ---

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scenequality.operators.running import PRIME
-from scenequality.plans.bindings import oracle_with
+from scenequality.plans.bindings import oracle_with, sharing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +18,12 @@ def query(name: str, views: tuple[str, ...] = (), oracle: str | None = None, cte
     """Register ``fn(spark, sf_dir)``; ``oracle`` is a SELECT over ``views`` and extra ``ctes``."""
 
     def add(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with sharing():
+                return fn(spark, sf_dir)
+
+        QUERIES[name] = shared
         if oracle is not None:
             head = oracle_with(*views) if views else ""
             parts = [p for p in (head, ctes) if p]

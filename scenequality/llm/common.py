@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scenequality.session import checkpoint_folder
 
@@ -45,6 +46,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         start = stop
 
 
+def hash_sample(ids: DataFrame, total: int, n: int) -> list:
+    """At most ``n`` values of the one column of ``ids``, those of smallest hash, out of about ``total``.
+
+    A bound on the hash lets about 2n + 64 rows through, so what tasks send to the driver doesn't grow with the
+    table; in the all but impossible case that fewer than n pass, the sample is that much smaller.
+    """
+    (name,) = ids.columns
+    hashed = F.xxhash64(name)
+    share = (2 * n + 64) / max(total, 1)
+    few = ids if share >= 1 else ids.where(hashed <= F.lit(int(share * 2.0**64) - 2**63))
+    return [r[0] for r in few.orderBy(hashed, name).limit(n).collect() if r[0] is not None]
+
+
 def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     """Values of a text column, null as empty."""
     return [value or "" for value in batch.column(column).to_pylist()]

@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenequality.llm.common import slices, strings
+from scenequality.llm.common import hash_sample, slices, strings
 
 UNDETERMINED = "und"
 GROUPS = 1 << 16  # hash values of letter groups
@@ -119,12 +119,12 @@ def learn(labelled: DataFrame, documents: int = 1000, languages: int = 64) -> Mo
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    names = tuple(sorted(r.lang for r in common))
-    # the smallest hashes of each language, without a window over a language's rows: one short top list each
-    chosen = []
-    for name in names:
-        rows = known.where(F.col("lang") == name).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
-        chosen += [r.doc_id for r in rows.limit(documents).collect() if r.doc_id is not None]
+    counts = {r["lang"]: r["count"] for r in common}
+    names = tuple(sorted(counts))
+    # one short top list of each language: no window gathers a language's rows
+    chosen = [
+        i for name in names for i in hash_sample(known.where(F.col("lang") == name).select("doc_id"), counts[name], documents)
+    ]
     sample = known.where(F.col("doc_id").isin(chosen)).select("text", "lang")
     place = {name: k for k, name in enumerate(names)}
     n_scripts = _script_table()[2]

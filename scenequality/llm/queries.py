@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenequality.llm.common import table
-from scenequality.llm.url_templates import Rule
+from scenequality.llm.url_templates import DEPTH, LEAST_SHARE, LEAST_URLS, PRIOR_WEIGHT, REJECT_AT, SIGNIFICANT, WILDCARD, Rule
 
 BYTE_BPE_END = 2
 WORD_BPE_END = 1
@@ -104,4 +104,60 @@ QUERIES = {
         op9_personal_data, op10_near_duplicates,
     )
 }
-ORACLES: dict[str, str] = {}
+# ---------------------------------------------------------------- SQL for what SQL can express
+
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '')
+        AS payload_digest FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
+def _op7() -> str:
+    """The template tree level by level, with the operator's parameters."""
+    fits = "\n".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN "
+        f"{{'rule': '{r.text}', 'verdict': '{r.verdict}'}}" for r in sorted(URL_RULES, key=lambda r: -len(r.text))
+    )
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    steps = [f"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{upper}', '{upper.lower()}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+m AS (SELECT *, CASE {fits} END AS found, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM u),
+t0 AS (SELECT page_id, host, path, found.rule AS rule, found.verdict AS label, '' AS template,
+              CASE WHEN len(parts) <= {DEPTH} THEN parts
+                   ELSE list_append(parts[1:{DEPTH - 1}], array_to_string(parts[{DEPTH}:], '/')) END AS segs FROM m)"""]
+    for k in range(DEPTH):
+        steps.append(f"""
+a{k} AS (SELECT host, template AS parent, segs[{k + 1}] AS segment, label FROM t{k} WHERE len(segs) > {k}),
+c{k} AS (SELECT host, parent, segment, count(*) AS urls, count(label) AS labelled, count(*) FILTER (label = 'block') AS blocked
+         FROM a{k} GROUP BY ALL HAVING count(*) >= {LEAST_URLS}),
+l{k} AS (SELECT c.*, labelled > 0 AS known, CASE WHEN labelled > 0 THEN blocked / labelled END AS share FROM c{k} c
+         JOIN (SELECT host, parent, count(*) AS n FROM a{k} GROUP BY ALL) n USING (host, parent) WHERE urls >= {LEAST_SHARE} * n),
+g{k} AS (SELECT *, lag(blocked) OVER w AS b, lag(labelled) OVER w AS n FROM l{k}
+         WINDOW w AS (PARTITION BY host, parent, known ORDER BY share, segment)),
+e{k} AS (SELECT *, (blocked + b) / (labelled + n) AS q FROM g{k}),
+p{k} AS (SELECT *, sum(CASE WHEN known AND share - b / n > {SIGNIFICANT} * sqrt(q * (1 - q) * (1 / labelled + 1 / n)) THEN 1 ELSE 0 END)
+         OVER (PARTITION BY host, parent, known ORDER BY share, segment) AS part FROM e{k}),
+b{k} AS (SELECT host, parent, list_sort(list(segment)) AS names, known, part FROM p{k} GROUP BY host, parent, known, part),
+f{k} AS (SELECT p.host, p.parent, p.segment, CASE WHEN len(names) > 1 THEN '{{' || array_to_string(names, '|') || '}}' ELSE segment END AS branch
+         FROM p{k} p JOIN b{k} b ON p.host = b.host AND p.parent = b.parent AND p.known = b.known AND p.part = b.part),
+t{k + 1} AS (SELECT page_id, t.host, path, rule, label, segs, CASE WHEN len(segs) > {k}
+         THEN template || '/' || coalesce(branch, '{WILDCARD}') ELSE template END AS template
+         FROM t{k} t LEFT JOIN f{k} f ON t.host = f.host AND template = parent AND segs[{k + 1}] = segment)""")
+    steps.append(f"""
+o AS (SELECT coalesce(count(*) FILTER (label = 'block') / nullif(count(label), 0), 0) AS prior FROM t{DEPTH}),
+z AS (SELECT host, template, CASE WHEN count(label) > 0 THEN
+             (count(*) FILTER (label = 'block') + {PRIOR_WEIGHT} * any_value(prior)) / (count(label) + {PRIOR_WEIGHT}) END AS purity
+      FROM t{DEPTH}, o GROUP BY host, template)""")
+    return ",".join(steps) + f"""
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN purity >= {REJECT_AT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM t{DEPTH} JOIN z USING (host, template)"""
+
+
+ORACLES: dict[str, str] = {"op3_warc": _OP3, "op7_url_templates": _op7()}

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenequality.llm.common import attempt_file, new_folder, place, slices, strings
+from scenequality.llm.common import attempt_file, hash_sample, new_folder, place, slices, strings
 from scenequality.llm.tokens import with_end, word_encoder
 from scenequality.session import cut_lineage
 
@@ -53,8 +53,7 @@ def train_dictionary(docs: DataFrame, path: str, spaced: bool, end: int, width:
     The sample is bounded by its parameter and trained on in one task. With too little to train on the
     dictionary is empty, which readers treat as none.
     """
-    picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    chosen = docs.where(F.col("doc_id").isin([r.doc_id for r in picked if r.doc_id is not None])).limit(sample)
+    chosen = docs.where(F.col("doc_id").isin(hash_sample(docs.select("doc_id"), docs.count(), sample))).limit(sample)
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path, spaced)
@@ -73,7 +72,8 @@ def train_dictionary(docs: DataFrame, path: str, spaced: bool, end: int, width:
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["dictionary"])
 
     ids = chosen.select("text").mapInArrow(arrays, "ids binary")
-    return bytes(ids.repartition(1).sortWithinPartitions("ids").mapInArrow(train, "dictionary binary").first()[0])
+    made = ids.repartition(1).sortWithinPartitions("ids").mapInArrow(train, "dictionary binary").collect()
+    return bytes(made[0][0]) if made else b""
 
 
 def _compressors(dictionary: bytes):

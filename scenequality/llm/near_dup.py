@@ -112,50 +112,66 @@ def _spans(limit: float, first: float) -> Iterator[tuple[int, float, float]]:
         number, low, high = number + 1, high, 2 * high
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rank and id of every dart below the weights and below rank ``limit``.
+def darts(elements: np.ndarray, weights: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Element number, rank and id of every dart below an element's weight and below its rank limit.
 
     The plane above an element is cut into cells by doubling weights and ranks; the number of darts in a cell is
     Poisson with the cell's area as mean, and all is drawn from the hash of element and cell.
     """
-    ranks, ids = [], []
-    for column, low, high in _spans(float(weights.max()), 1.0):
-        under = weights > low
-        x, w = elements[under], weights[under]
-        for row, near, far in _spans(limit, 2.0**-8):
-            seed = mix(x + _U((column * 4096 + row + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            n = np.searchsorted(_poisson((high - low) * (far - near)), _unit(seed), "right")
-            k = 0
-            while len(hit := np.flatnonzero(n > k)):
-                name = mix(seed[hit] + _U((k + 1) * 0xC2B2AE3D27D4EB4F & (2**64 - 1)))
-                rank = near + (far - near) * _unit(mix(name + _U(1)))
-                height = low + (high - low) * _unit(mix(name + _U(2)))
-                real = (height < w[hit]) & (rank < limit)
-                ranks.append(rank[real])
-                ids.append(name[real])
-                k += 1
-    return np.concatenate(ranks), np.concatenate(ids)
+    numbers, ranks, ids = [], [], []
+    for column, low, high in _spans(float(weights.max(initial=0)), 1.0):
+        for row, near, far in _spans(float(limits.max(initial=0)), 2.0**-8):
+            use = np.flatnonzero((weights > low) & (limits > near))
+            seed = mix(elements[use] + _U((column * 4096 + row + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+            chances = _poisson((high - low) * (far - near))
+            some = np.flatnonzero(seed >= _U(int(float(chances[0]) * 2**64)))  # most cells hold none
+            use, seed = use[some], seed[some]
+            n = np.searchsorted(chances, _unit(seed), "right")
+            use, seed = np.repeat(use, n), np.repeat(seed, n)
+            turn = np.arange(len(use)) - np.repeat(np.cumsum(n) - n, n)
+            name = mix(seed + (turn + 1).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
+            rank = near + (far - near) * _unit(mix(name + _U(1)))
+            height = low + (high - low) * _unit(mix(name + _U(2)))
+            real = (height < weights[use]) & (rank < limits[use])
+            numbers.append(use[real])
+            ranks.append(rank[real])
+            ids.append(name[real])
+    return np.concatenate(numbers), np.concatenate(ranks), np.concatenate(ids)
+
+
+def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, sets: int, size: int) -> np.ndarray:
+    """(sets x size) ids of the earliest dart in each coordinate of weighted sets of distinct elements; ``owner`` says
+    whose element it is, and every set has one. All sets are drawn at once; those whose darts leave a coordinate
+    empty are drawn again with a higher limit."""
+    kept = np.zeros((sets, size), np.uint64)
+    total = np.bincount(owner, weights, sets)
+    limit = (size * np.log(size) + 2 * size) / total  # darts expected below it: enough to fill most signatures
+    going = np.arange(sets)
+    while len(going):
+        place = np.full(sets, -1)
+        place[going] = np.arange(len(going))
+        mine = np.flatnonzero(place[owner] >= 0)
+        number, rank, name = darts(elements[mine], weights[mine], limit[owner[mine]])
+        cell = place[owner[mine[number]]] * size + (name % _U(size)).astype(np.int64)
+        best = np.full(len(going) * size, np.inf)
+        np.minimum.at(best, cell, rank)
+        first = rank == best[cell]
+        filled = np.zeros(len(best), np.uint64)
+        filled[cell[first]] = name[first]
+        kept[going] = filled.reshape(-1, size)
+        going = going[~np.isfinite(best).reshape(-1, size).all(1)]
+        limit[going] *= 2
+    return kept
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """The id of the earliest dart in each of ``size`` coordinates of a weighted set of distinct elements."""
-    wanted = size * np.log(size) + 2 * size  # darts expected below the limit: enough to fill most signatures at once
-    limit = wanted / weights.sum()
-    while True:
-        rank, name = darts(elements, weights, limit)
-        place = (name % _U(size)).astype(np.int64)
-        late = np.argsort(-rank, kind="stable")
-        kept, filled = np.zeros(size, np.uint64), np.zeros(size, bool)
-        kept[place[late]] = name[late]  # the last written, the earliest dart, stays
-        filled[place] = True
-        if filled.all():
-            return kept
-        limit *= 2
-
-
-def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    value = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in sketch.reshape(bands, rows).T:
+    """The signature of one set."""
+    return signatures(elements, weights, np.zeros(len(elements), np.int64), 1, size)[0]
+
+
+def band_keys(sketches_: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    value = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sketches_), bands))
+    for column in np.moveaxis(sketches_.reshape(-1, bands, rows), 2, 0):
         value = mix(value * _U(0x2545F4914F6CDD1D) + column)
     return value
 
@@ -186,22 +202,23 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, counted: boo
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = strings(part, "text")
-                nodes, keys, known = [], [], {}
-                for text, found in zip(texts, shingles(texts), strict=True):
-                    distinct, n = np.unique(found, return_counts=True)
-                    nodes.append(_node(text, distinct, n if counted else None))
-                    if nodes[-1] not in known:
-                        weights = n.astype(float) if counted else np.ones(len(distinct))
-                        known[nodes[-1]] = (
-                            band_keys(signature(distinct, weights, bands * rows), bands, rows).astype(np.int64)
-                            if len(distinct) else np.zeros(0, np.int64)
-                        )
-                    keys.append(known[nodes[-1]])
-                offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+                found = [np.unique(x, return_counts=True) for x in shingles(texts)]
+                nodes = [_node(t, x, n if counted else None) for t, (x, n) in zip(texts, found, strict=True)]
+                place = {node: k for k, node in reversed(list(enumerate(nodes))) if len(found[k][0])}
+                some = [found[k] for k in place.values()]
+                keys = np.zeros((0, bands), np.int64)
+                if some:
+                    x, n = (np.concatenate(c) for c in zip(*some, strict=True))
+                    owner = np.repeat(np.arange(len(some)), [len(y) for y, _ in some])
+                    weights = n.astype(float) if counted else np.ones(len(x))
+                    keys = band_keys(signatures(x, weights, owner, len(some), bands * rows), bands, rows).astype(np.int64)
+                order = {node: k for k, node in enumerate(place)}
+                own = np.array([order.get(node, -1) for node in nodes])
+                offsets = np.concatenate([[0], np.cumsum(np.where(own >= 0, bands, 0))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array(nodes, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys), pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[own[own >= 0]].ravel(), pa.int64())),
                     ],
                     ["doc_id", "node", "keys"],
                 )
@@ -299,12 +316,12 @@ def _across(rows: DataFrame, asked: DataFrame, least: float) -> DataFrame:
         if len(frame) and len(other):
             nodes, sets = list(frame["node"]), _sets(frame)
             for name, one in zip(other["node"], _sets(other), strict=True):
-                # edges of one asked node with a whole component of the block are needed once, but costs stay linear
                 for i in np.flatnonzero(_alike(one, sets, least)):
                     a.append(nodes[i])
                     b.append(name)
         return pd.DataFrame({"a": a, "b": b})
 
+    asked = asked.select(*_GROUP, "node", "elements").toDF(*_GROUP, "node", "elements")  # both come from the same rows
     return rows.groupBy(*_GROUP).cogroup(asked.groupBy(*_GROUP)).applyInPandas(run, "a binary, b binary")
 
 

@@ -539,9 +539,17 @@ def box_contrast(spark, sf):
     return Y.colour_facts(fills, F.lit("#ffffff")).select("diagram_id", "min_box_contrast")
 
 
-@query("colour_families")
+@query("colour_families", ("rects",), """
+    , q AS (SELECT diagram_id, min(seq) AS first, CAST(trunc(x * 7) AS BIGINT) % 256 / 255e0 AS r, CAST(trunc(y * 11) AS BIGINT) % 256 / 255e0 AS g,
+                   CAST(trunc(w * 5) AS BIGINT) % 256 / 255e0 AS b FROM rects GROUP BY ALL),
+    t AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM q),
+    u AS (SELECT diagram_id, first, CASE WHEN top = low THEN 0e0 WHEN top + low <= 1 THEN (top - low) / (top + low) ELSE (top - low) / (2 - top - low) END AS sat,
+                 60 * CASE WHEN top = low THEN 0e0 WHEN r = top THEN (g - b) / (top - low) WHEN g = top THEN 2 + (b - r) / (top - low) ELSE 4 + (r - g) / (top - low) END AS turn FROM t),
+    o AS (SELECT diagram_id, coalesce(list([CASE WHEN turn < 0 THEN turn + 360 ELSE turn END] ORDER BY first) FILTER (sat >= 25e-2), []) AS hues FROM u GROUP BY diagram_id)
+    SELECT diagram_id, CAST(len(list_reduce(list_prepend(CAST([] AS DOUBLE[]), hues), lambda x, y: CASE WHEN len(list_filter(x, lambda k: least(abs(k - y[1]), 360 - abs(k - y[1])) <= 20)) > 0
+                    THEN x ELSE list_concat(x, y) END)) AS INTEGER) AS hue_families FROM o""")
 def colour_families(spark, sf):
-    """First-seen hue clusters per drawing (order-dependent fold: rows only)."""
+    """First-seen hue clusters per drawing."""
     hx = lambda v: F.lpad(F.lower(F.hex((v.cast("int") % 256).cast("bigint"))), 2, "0")
     fills = _els(spark, sf, "rects").select("diagram_id", "seq", F.concat(
         F.lit("#"), hx(F.col("x") * 7), hx(F.col("y") * 11), hx(F.col("w") * 5)).alias("fill"))

@@ -150,10 +150,10 @@ def shape_collisions(elements: DataFrame, threshold: float = GEOMETRY["overlap_a
 
 
 def foreground(elements: DataFrame, canvases: DataFrame) -> DataFrame:
-    """Elements without shapes that cover the whole canvas."""
+    """Elements without shapes that cover the whole canvas; where no canvas is known, nothing is known to cover it."""
     size = canvases.select("diagram_id", "width", "height")
     covered = G.is_shape(F.col("tag")) & G.covers_canvas(box(), F.col("width"), F.col("height"))
-    return elements.join(size, "diagram_id").filter(~covered).drop("width", "height")
+    return elements.join(size, "diagram_id", "left").filter(~F.coalesce(covered, F.lit(False))).drop("width", "height")
 
 
 def declared_leaves(elements: DataFrame, canvases: DataFrame, components: DataFrame, groups: DataFrame, matches: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ def rating_complete(scores: Column) -> Column:
 
 def direct_score_problem(score: Column) -> Column:
     """S6: null when a JSON score text is an integer 1-10 (a JSON true is not an integer)."""
-    ok = score.rlike(r"^-?\d+$") & F.expr("true")
-    return F.when(~F.coalesce(ok, F.lit(False)) | ~F.try_to_number(score, F.lit("S999999999")).between(1, 10), F.lit("invalid score"))
+    ok = F.coalesce(score.rlike(r"^-?\d+$"), F.lit(False))
+    return F.when(~ok | ~F.try_to_number(score, F.lit("S999999999")).between(1, 10), F.lit("invalid score"))
 
 
 def failed_rules(rules: dict[str, Column]) -> Column:

@@ -15,7 +15,7 @@ def guarded(df: DataFrame) -> DataFrame:
 
 
 def write_export(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """K1: quoted CSV with formula guards and CRLF line ends."""
+    """K1: quoted CSV with formula guards; lines end in LF, as Spark's writer takes a single character."""
     guarded(rows).write.mode(mode).csv(path, header=True, quoteAll=True, escape='"', lineSep="\n", emptyValue="", nullValue="")
 
 

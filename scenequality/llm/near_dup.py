@@ -349,8 +349,9 @@ def verified(rows: DataFrame, least: float) -> DataFrame:
     edges = cut_lineage(edges.unionByName(_across(split, everywhere(anchor_rows), least)))
     labels = cut_lineage(components(edges))
     own = split.select("loose", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    main = anchors.join(labels, F.col("anchor") == F.col("node"), "left").select(
-        "loose", F.coalesce("label", "anchor").alias("main"))
+    # a row per large group, written so that joining it by group is a join alone, which can be split or broadcast
+    main = cut_lineage(anchors.join(labels, F.col("anchor") == F.col("node"), "left").select(
+        "loose", F.coalesce("label", "anchor").alias("main")))
     apart = own.join(main, "loose").where("label <> main").select("node")
     return edges.unionByName(_across(split, everywhere(split.join(apart, "node")), least))
 

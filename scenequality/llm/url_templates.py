@@ -80,11 +80,12 @@ def merge_branches(children: DataFrame) -> DataFrame:
     """(host, parent, segment, branch) of the literal ``children``: siblings in order of their blocked share form one
     branch as long as neighbours don't differ significantly; those without labels form one of their own."""
     known = F.col("labelled") > 0
-    share = F.when(known, F.col("blocked") / F.col("labelled"))
+    n, m = (F.nullif(F.col(c), F.lit(0)) for c in ("labelled", "n"))  # null without labels: then nothing differs
+    share = F.col("blocked") / n
     row = Window.partitionBy("host", "parent", "known").orderBy("share", "segment")  # at most 1 / LEAST_SHARE rows
-    pooled = (F.col("blocked") + F.col("b")) / (F.col("labelled") + F.col("n"))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("n")))
-    apart = F.coalesce(F.col("share") - F.col("b") / F.col("n") > SIGNIFICANT * error, F.lit(False))
+    pooled = (F.col("blocked") + F.col("b")) / (n + m)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    apart = F.coalesce(F.col("share") - F.col("b") / m > SIGNIFICANT * error, F.lit(False))
     grouped = (
         children.withColumn("known", known).withColumn("share", share)
         .withColumn("b", F.lag("blocked").over(row)).withColumn("n", F.lag("labelled").over(row))

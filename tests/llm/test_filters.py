@@ -59,10 +59,12 @@ def test_templates_generalise_merge_and_reject(spark):
     for k in range(60):
         rows += [("h.net", f"/ads/{k}/x", "block"), ("h.net", f"/bet/{k}/x", "block" if k else None)]
         rows += [("h.net", f"/news/{k}", "allow"), ("h.net", f"/post/{k}", None), ("h.net", f"/rare{k}", None)]
+        rows += [("i.net", f"/de/{k}", None), ("i.net", f"/en/{k}", None)]
     tree = urls.url_templates(spark.createDataFrame(rows, "host string, path string, label string"))
     found = {(r.path, r.template) for r in tree.collect()}
     assert ("/ads/3/x", "/{ads|bet}/*/x") in found and ("/bet/0/x", "/{ads|bet}/*/x") in found
     assert ("/news/5", "/news/*") in found and ("/post/5", "/post/*") in found and ("/rare7", "/*") in found
+    assert ("/de/7", "/{de|en}/*") in found
     purity = {r.template: r.purity for r in urls.template_purity(tree).collect()}
     assert purity["/{ads|bet}/*/x"] > 0.9 and purity["/news/*"] < 0.2 and purity["/post/*"] is None
     deep = spark.createDataFrame([("h", "/" + "/".join("abcdefgh"), None)] * 50, "host string, path string, label string")
@@ -123,7 +125,7 @@ def test_base_spans_of_random_texts(spark, texts):
 
 
 def test_contexts_discover_identifiers(spark):
-    rows = [(k, f"reach me, account {4929_0000_0000 + k}x or mail bob{k}@ex.org today") for k in range(8)]
+    rows = [(k, f"reach me, account {4929_0000_0000 + k}x or mail bob{k}@ex.org today") for k in range(20)]
     rows += [(100 + k, f"then mail XK-{7000 + k}-Q today, and at page {k}99") for k in range(3)]
     rows += [(200 + k, f"written at page 12{k}456 of the book") for k in range(9)]
     found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

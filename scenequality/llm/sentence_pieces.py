@@ -33,17 +33,19 @@ CHUNKS_PER_BLOCK = 64
 REMEMBERED = 300_000
 UNKNOWN = 10.0  # an unknown character scores this much less than the worst piece
 NO = -np.inf
+_NOWHERE = object()  # nothing in the vocabulary begins so
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Scores and ids of the normal pieces, ids of the 256 byte pieces, all that a piece can begin with, the score of
+    """Scores and ids of the normal pieces, ids of the 256 byte pieces, the score of
+    all that a piece can begin with (null if it is none itself), the score of
     an unknown character, the longest piece, whether a space is put before a text, all names, and whether a line
     break is in no piece."""
 
     pieces: dict[str, tuple[float, int]]
     bytes_: tuple[int, ...]
-    starts: frozenset[str]
+    runs: dict[str, float | None]
     unknown: float
     longest: int
     prefix: bool
@@ -67,7 +69,7 @@ def vocabulary(path: str) -> Vocabulary:
     if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
         raise ValueError("only models that keep the text as it is are read")
     return Vocabulary(
-        normal, tuple(single[b] for b in range(256)), frozenset(p[:k] for p in normal for k in range(1, len(p) + 1)), min(s for s, _ in normal.values()) - UNKNOWN,
+        normal, tuple(single[b] for b in range(256)), {p[:k]: normal.get(p[:k], (None,))[0] for p in normal for k in range(1, len(p) + 1)}, min(s for s, _ in normal.values()) - UNKNOWN,
         max(map(len, normal)), rules.add_dummy_prefix, tuple(p.piece for p in proto.pieces),
         not any("\n" in p for p in normal),
     )
@@ -83,7 +85,7 @@ def best_path(text: str, stop: int, words: Vocabulary, entry: dict[int, float])
     Gives the score of every position (-inf if none is reached) and the start of the best piece that ends there
     (-1 where a position was entered). Of equal scores the smallest start wins.
     """
-    pieces, starts, n = words.pieces, words.starts, len(text)
+    runs, n = words.runs, len(text)
     score, came = [NO] * (max(n, *entry) + 1), [-1] * (max(n, *entry) + 1)
     for at, value in entry.items():
         score[at] = value
@@ -92,13 +94,12 @@ def best_path(text: str, stop: int, words: Vocabulary, entry: dict[int, float])
         if here == NO:
             continue
         for j in range(i + 1, n + 1):
-            run = text[i:j]
-            if run not in starts:
+            worth = runs.get(text[i:j], _NOWHERE)
+            if worth is _NOWHERE:
                 break
-            found = pieces.get(run)
-            if found is not None and here + found[0] > score[j]:
-                score[j], came[j] = here + found[0], i
-        if text[i] not in pieces and here + words.unknown > score[i + 1]:
+            if worth is not None and here + worth > score[j]:
+                score[j], came[j] = here + worth, i
+        if runs.get(text[i]) is None and here + words.unknown > score[i + 1]:
             score[i + 1], came[i + 1] = here + words.unknown, i
     return score, came
 

@@ -97,21 +97,22 @@ def in_cells(rows: DataFrame, probes: int, tables: int = TABLES) -> DataFrame:
 
 def _rerank(keep: int, candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Exact scores of a block of queries against a block of candidates; each query's ``keep`` best leave it."""
-    keys, found, values = [], [], []
+    keys, found, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     if len(candidates) and len(asked):
-        x, ids = np.array(candidates["vector"].tolist(), np.float64), candidates["ids"].tolist()
-        q, names = np.array(asked["vector"].tolist(), np.float64), asked["query_key"].to_numpy()
+        x, q = (np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (candidates, asked))
+        names, copies = asked["query_key"].to_numpy(), candidates["ids"].to_numpy()
+        ids, held = np.concatenate(copies), np.array([len(c) for c in copies])
+        first = np.cumsum(held) - held
         for start in range(0, len(q), 256):
             scores = q[start : start + 256] @ x.T
             last = max(0, scores.shape[1] - keep)
             least = np.partition(scores, last, axis=1)[:, last]
-            for i, j in zip(*np.nonzero(scores >= least[:, None]), strict=True):  # ties with the last one stay
-                keys += [names[start + i]] * len(ids[j])
-                found += list(ids[j])
-                values += [scores[i, j]] * len(ids[j])
-    return pd.DataFrame(
-        {"query_key": np.array(keys, np.int64), "vec_id": np.array(found, np.int64), "score": np.array(values, float)}
-    )
+            i, j = np.nonzero(scores >= least[:, None])  # ties with the last one stay
+            n = held[j]
+            keys.append(np.repeat(names[start + i], n))
+            values.append(np.repeat(scores[i, j], n))
+            found.append(ids[np.repeat(first[j] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    return pd.DataFrame({"query_key": np.concatenate(keys), "vec_id": np.concatenate(found), "score": np.concatenate(values)})
 
 
 def in_blocks(base: DataFrame, queries: DataFrame, keep: int, block_rows: int) -> DataFrame:

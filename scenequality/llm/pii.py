@@ -190,7 +190,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     spans, null ids included. An empty table gives none.
     """
     text = F.coalesce("text", F.lit(""))
-    docs = docs.drop("base", "spans", "text_hash", *KINDS).withColumn("text_hash", F.xxhash64(text))
+    docs = docs.drop("base", "spans", "text_hash").withColumn("text_hash", F.xxhash64(text))
     found = docs.select(*_KEY, text.alias("text")).select("*", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     rows = cut_lineage(occurrences(found))
     good = bootstrap(rows)

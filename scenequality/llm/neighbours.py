@@ -60,10 +60,10 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """(vector, ids): each different vector once with its ``keep`` smallest ids; no other copy can be among the
-    ``keep`` nearest of anything. Copies are limited per task, then per salt, then once more, so that a vector
-    of millions of rows sends a few hundred to the task that ends its list."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(COPY_SALTS)))
+    """(vector, ids): each different vector once with its ``keep`` smallest different ids; no other copy can be among
+    the ``keep`` nearest of anything. Repeated rows go first. Copies are then limited per task, per salt, and once
+    more, so that a vector of millions of rows sends a few hundred to the task that ends its list."""
+    salted = rows.dropDuplicates(["vec_id", "vector"]).withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(COPY_SALTS)))
     for group in (["vector", "_salt"], ["vector"]):
         order = Window.partitionBy(*group).orderBy("vec_id")
         salted = salted.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep)
@@ -96,15 +96,26 @@ def in_cells(rows: DataFrame, probes: int, tables: int = TABLES) -> DataFrame:
 
 
 def _rerank(keep: int, candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Exact scores of a block of queries against a block of candidates; each query's ``keep`` best leave it."""
+    """Exact scores of a block of queries against a block of candidates; each query's ``keep`` best ids leave it. An id
+    with several vectors counts once, with its best."""
     keys, found, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     if len(candidates) and len(asked):
         x, q = (np.stack(side["vector"].to_numpy()).astype(np.float64) for side in (candidates, asked))
         names, copies = asked["query_key"].to_numpy(), candidates["ids"].to_numpy()
         ids, held = np.concatenate(copies), np.array([len(c) for c in copies])
+        different, at = np.unique(ids, return_inverse=True)
+        several = len(different) < len(ids)
+        if several:  # columns become ids instead of vectors
+            order = np.argsort(at, kind="stable")
+            column = np.repeat(np.arange(len(held)), held)[order]
+            bounds = np.searchsorted(at[order], np.arange(len(different)))
+            ids, held = different, np.ones(len(different), np.int64)
         first = np.cumsum(held) - held
-        for start in range(0, len(q), 256):
-            scores = q[start : start + 256] @ x.T
+        step = max(1, min(256, (1 << 22) // len(column))) if several else 256
+        for start in range(0, len(q), step):
+            scores = q[start : start + step] @ x.T
+            if several:
+                scores = np.maximum.reduceat(scores[:, column], bounds, axis=1)
             last = max(0, scores.shape[1] - keep)
             least = np.partition(scores, last, axis=1)[:, last]
             i, j = np.nonzero(scores >= least[:, None])  # ties with the last one stay
@@ -158,8 +169,8 @@ def search(vectors: DataFrame, is_query: F.Column, neighbours: int = 20, tables:
     compared with all rows.
 
     Columns query_id, rank, vec_id, score; ties go to the smaller vec_id. Only vectors of equal length are
-    compared. Rows that ``usable`` leaves out take no part; repeated ids count as rows but never as their own
-    query's neighbours. Extra columns are ignored; an empty table gives no row.
+    compared. Rows that ``usable`` leaves out take no part. An id is one neighbour and one query however many rows it
+    has, and the best pair of vectors gives its score; it is never its own neighbour. Extra columns are ignored; an empty table gives no row.
     """
     keep = neighbours + 1  # the query's own row may be among them
     rows = usable(vectors)
@@ -179,4 +190,5 @@ def search(vectors: DataFrame, is_query: F.Column, neighbours: int = 20, tables:
         found = found.join(short, "query_key", "left_anti").unionByName(ranked(rest))
     named = asking.join(queries, "vector").select(F.col("vec_id").alias("query_id"), "query_key")
     pairs = named.join(found.drop("rank"), "query_key").where("query_id <> vec_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a query id may have several vectors
     return best(pairs, "query_id", neighbours).select("query_id", "rank", "vec_id", "score")

@@ -58,6 +58,25 @@ def test_copies_ties_blocks_and_bad_vectors(spark):
             assert [found[q][k + 1][0] for k in range(20)] == [i for i, _ in best]
 
 
+def test_repeated_rows_of_a_hot_vector(spark):
+    far = [(100 + i, [0.5, 0.1 * i] + [0.0] * 6) for i in range(30)]
+    rows = [(i, [1.0] + [0.0] * 7) for i in range(1, 31)] + far
+    vectors = spark.createDataFrame(rows + rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(vectors, F.col("vec_id") == 20).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [i for i in range(1, 22) if i != 20]
+
+
+def test_ids_of_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0])]
+    rows += [(2, [2.0, 0.01 * i]) for i in range(40)]  # for (1, 0) all before the others, and all one neighbour
+    rows += [(10 + i, [0.5, 0.25 * i]) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(vectors, F.col("vec_id") == 1).orderBy("rank").collect()
+    score = {2: 2.0} | {10 + i: max(0.5, 0.25 * i) for i in range(30)}
+    want = sorted(score, key=lambda i: (-score[i], i))[:20]
+    assert [(r.rank, r.vec_id, r.score) for r in found] == [(k + 1, i, score[i]) for k, i in enumerate(want)]
+
+
 def test_few_candidates_and_empty_table(spark):
     rows = [(0, [1.0, 0.0]), (1, [-1.0, 0.1]), (2, [0.0, -1.0]), (40, [3.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scenequality.llm.common import table
 from scenequality.llm.language import UNDETERMINED, identify
-from scenequality.llm.near_dup import near_duplicates
+from scenequality.llm.near_dup import first_of_classes
 from scenequality.llm.packing import pack_documents
 from scenequality.llm.pii import find_personal_data, masked
 from scenequality.llm.queries import WORD_BPE_END, vocabulary
@@ -38,14 +38,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest doc_id of each near-duplicate class, once.
+    """Keep one row of each near-duplicate class: that of smallest doc_id.
 
-    Rows without a doc_id stay only where their class has no numbered document, once per text.
+    A row without a doc_id stays only where its class has no numbered document.
     """
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).where("doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return first.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    return first_of_classes(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

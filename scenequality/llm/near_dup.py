@@ -191,8 +191,13 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def text_key(text: str = "text") -> F.Column:
+    """16 bytes that tell texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """(doc_id, node, keys) of ``docs`` (doc_id, text): the name of the content and its band keys.
+    """(doc_id, text_key, node, keys) of ``docs`` (doc_id, text): the name of the content and its band keys.
 
     Weights are 1 for each different shingle, or how often it occurs if ``counted``. Null text counts as empty;
     texts without words have no keys.
@@ -217,13 +222,14 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, counted: boo
                 offsets = np.concatenate([[0], np.cumsum(np.where(own >= 0, bands, 0))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array(nodes, pa.binary()),
+                        part.column("doc_id"), part.column("text_key"), pa.array(nodes, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[own[own >= 0]].ravel(), pa.int64())),
                     ],
-                    ["doc_id", "node", "keys"],
+                    ["doc_id", "text_key", "node", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, keys array<long>")
+    schema = "doc_id long, text_key binary, node binary, keys array<long>"
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- groups
@@ -356,42 +362,60 @@ def verified(rows: DataFrame, least: float) -> DataFrame:
     return edges.unionByName(_across(split, everywhere(split.join(apart, "node")), least))
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                    block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, class_id) of every row of ``docs`` (doc_id, text, any more).
-
-    Documents are linked if their sets of different five-word shingles (lower-cased words of letters and digits;
-    a shorter text is one shingle) have a Jaccard similarity of ``least`` or more; a class is what links connect,
-    and class_id its smallest doc_id. Null text counts as empty; texts without words are linked if equal. Classes
-    of which no row has a doc_id have a null class_id. Repeated rows give repeated rows. An empty table gives none.
-    """
+def _labelled(docs: DataFrame, least: float, bands: int, rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of ``docs``, and (node, first, label) of each content: first is its row of smallest doc_id (rows
+    without one last) and text key, label the least node of its class."""
     docs = docs.select("doc_id", "text")
     sketched = cut_lineage(sketches(docs, bands, rows))
-    contents = cut_lineage(sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys")))
+    row = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "text_key")
+    contents = cut_lineage(sketched.groupBy("node").agg(F.min(row).alias("first"), F.min("keys").alias("keys")))
     keyed = contents.select("node", F.posexplode("keys").alias("band", "key"))
     leaders = keyed.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     pairs = keyed.join(leaders, ["band", "key"]).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     loose = cut_lineage(components(pairs)).withColumnRenamed("label", "loose")
     sizes = loose.groupBy("loose").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    wanted = loose.join(sizes, "loose").join(contents.select("node", F.col("doc_id").alias("_id")), "node").withColumn(
+    own = contents.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    wanted = loose.join(sizes, "loose").join(own, "node").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                texts = strings(part, "text")
-                sets = [np.unique(s) for s in shingles(texts)]
-                # a repeated doc_id may bring another text: only the one that the node names counts
-                right = [_node(t, s, None) == n for t, s, n in zip(texts, sets, part.column("node").to_pylist(), strict=True)]
-                kept = part.filter(pa.array(right)).drop_columns(["text"])
-                data = [s.tobytes() for s, yes in zip(sets, right, strict=True) if yes]
+                data = [np.unique(s).tobytes() for s in shingles(strings(part, "text"))]
+                kept = part.drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(data, pa.binary())], [*kept.schema.names, "elements"])
 
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).select("loose", "block", "blocks", "node", "text")
+    # one text per content: other texts of its doc_id have other keys, and repeats of the row go
+    same = docs["doc_id"].eqNullSafe(wanted["_id"]) & (text_key() == wanted["_key"])
+    texts = docs.join(wanted, same).select("loose", "block", "blocks", "node", "text").distinct()
     sets = texts.mapInArrow(elements, "loose binary, block int, blocks int, node binary, elements binary")
     labels = cut_lineage(components(verified(sets, least)))
-    named = contents.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = cut_lineage(named)
-    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = contents.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sketched, cut_lineage(named)
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, class_id) of every row of ``docs`` (doc_id, text, any more).
+
+    Documents are linked if their sets of different five-word shingles (lower-cased words of letters and digits;
+    a shorter text is one shingle) have a Jaccard similarity of ``least`` or more; a class is what links connect,
+    and class_id its smallest doc_id. Null text counts as empty; texts without words are linked if equal. Classes
+    of which no row has a doc_id have a null class_id. Repeated rows give repeated rows. An empty table gives none.
+    """
+    sketched, named = _labelled(docs, least, bands, rows, block_rows)
+    classes = named.groupBy("label").agg(F.min("first.doc_id").alias("class_id"))
     by_node = cut_lineage(named.join(classes, "label").select("node", "class_id"))
     return sketched.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id")
+
+
+def first_of_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row of ``docs`` for each class of ``near_duplicates``: that of smallest doc_id (rows without one last), and
+    of several texts under that id the one of smallest text key."""
+    named = _labelled(docs, least, bands, rows, block_rows)[1]
+    kept = named.groupBy("label").agg(F.min("first").alias("first")).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_first"))
+    keyed = docs.withColumn("_key", text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")

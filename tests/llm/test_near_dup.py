@@ -161,3 +161,18 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert sorted({r.doc_id for r in out}, key=repr) == [3, None]
     spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_keeps_one_row_per_class(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    other = " ".join(f"x{k}" for k in range(100))
+    lone = " ".join(f"y{k}" for k in range(100))
+    rows = [(1, base), (None, base + " a"), (None, base + " b"), (None, lone), (None, lone + " a"), (None, lone),
+            (7, other), (7, base + " c"), (8, other + " a"), (None, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], PIPELINE_SCHEMA)
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(found, key=repr)[:2] == [(1, base), (7, other)] and len(found) == 4
+    assert (None, "short") in found and sum(t in (lone, lone + " a") for _, t in found) == 1

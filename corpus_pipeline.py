@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenequality.llm.common import table
-from scenequality.llm.language import UNDETERMINED, identify
+from scenequality.llm.language import UNDETERMINED, identify, learnable
 from scenequality.llm.near_dup import first_of_classes
 from scenequality.llm.packing import pack_documents
 from scenequality.llm.pii import find_personal_data, masked
@@ -20,20 +20,19 @@ from scenequality.llm.queries import WORD_BPE_END, vocabulary
 from scenequality.session import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SHARE = 0.5  # of a document's letters that one language must have
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Name every document's language from its text, learned from the labelled ones, and write it into ``lang``.
 
-    Documents without a letter (null and empty texts too), and those in which no language has ``LEAST_SHARE`` of the
-    letters, go. If no document has a label nothing can be learned and every document stays with its null.
+    Documents without a letter (null and empty texts too) go; of several languages the one of most letters counts. If
+    no document with a label may be learned from, every document stays as it is.
     """
     docs = docs.select(*COLUMNS)
-    if docs.where("lang IS NOT NULL AND text IS NOT NULL").isEmpty():
+    if learnable(docs).isEmpty():
         return docs
     found = identify(docs, docs)
-    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    kept = found.where(F.col("lang_pred") != UNDETERMINED)
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

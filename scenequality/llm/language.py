@@ -301,6 +301,11 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
+def learnable(labelled: DataFrame) -> DataFrame:
+    """The rows of ``labelled`` with text and lang that aren't held out."""
+    return labelled.where("text IS NOT NULL AND lang IS NOT NULL").where(~F.coalesce(held_out(), F.lit(False)))
+
+
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``docs`` with spans, lang_pred and score, learned from the rows of ``labelled`` that aren't held out."""
-    return label_spans(docs, learn(labelled.where(~F.coalesce(held_out(), F.lit(False)))))
+    """``docs`` with spans, lang_pred and score, learned from the ``learnable`` rows of ``labelled``."""
+    return label_spans(docs, learn(learnable(labelled)))

@@ -176,3 +176,13 @@ def test_pipeline_keeps_one_row_per_class(spark):
     found = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(found, key=repr)[:2] == [(1, base), (7, other)] and len(found) == 4
     assert (None, "short") in found and sum(t in (lone, lone + " a") for _, t in found) == 1
+
+
+def test_pipeline_keeps_mixed_and_unlearnable_documents(spark):
+    en, es, fr = "the and with from", "pero ella nosotros", "avec vous jamais"
+    rows = [(k, text, lang) for n, (text, lang) in enumerate([(en, "en"), (es, "es"), (fr, "fr")]) for k in range(20 * n, 20 * n + 20)]
+    mixed = " ".join([(en + " ") * 12, (es + " ") * 11, (fr + " ") * 12])
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in [*rows, (99, mixed, None)]], PIPELINE_SCHEMA)
+    held = docs.where(corpus_pipeline.F.crc32(corpus_pipeline.F.col("doc_id").cast("string")) % 4 == 2)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {i for i, _, _ in rows} | {99}
+    assert corpus_pipeline.language(spark, held, "").count() == held.count() > 0

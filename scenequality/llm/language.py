@@ -21,6 +21,8 @@ SWITCH = 12.0  # what a change of language costs, in nats
 SMOOTHING = 0.1
 SCRIPT_SHARE = 0.01  # of a language's words, for a script to be one of its own
 BLOCK = 64  # words of one Viterbi block
+LANGUAGES = 256  # about 1 MB of counts for each in every task; more raise an error
+SLICE = 1 << 20  # characters labelled at once with up to 64 languages, fewer with more
 
 #: First code points of script ranges, in order; a range ends where the next begins. Fixed values of Unicode.
 SCRIPTS = (
@@ -112,14 +114,16 @@ def find_words(texts: list[str]) -> Words:
 # ---------------------------------------------------------------- learning
 
 
-def learn(labelled: DataFrame, documents: int = 1000, languages: int = 64) -> Model:
+def learn(labelled: DataFrame, documents: int = 1000, languages: int = LANGUAGES) -> Model:
     """Fit on the whole texts of at most ``documents`` rows (doc_id, text, lang) of each language, those of the
-    smallest id hash, and at most ``languages`` languages, the commonest. Both bounds are parameters of the fit
-    only; prediction covers every row. Rows with null text or lang are left out; without rows the model is empty.
+    smallest id hash. That bound is a parameter of the fit only; prediction covers every row. Every lang value is
+    learned; more than ``languages`` of them, which memory would not hold, are an error. Rows with null text or lang
+    are left out; without rows the model is empty.
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    counts = {r["lang"]: r["count"] for r in common}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} values of lang to learn")
     names = tuple(sorted(counts))
     # one short top list of each language: no window gathers a language's rows
     chosen = [
@@ -251,8 +255,9 @@ def label_spans(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFr
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        size = SLICE * 64 // max(64, len(model.languages))
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", size):
                 columns = _labels(strings(part, "text"), model, switch)
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*names, "spans", "lang_pred", "score"])
 

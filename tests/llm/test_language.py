@@ -71,6 +71,16 @@ def test_scripts_narrow_and_spans_switch(spark):
     assert rest[5].lang_pred in ("en", "ru") and rest[7].lang_pred == "en" and rest[7].score == 1.0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(k, f"{chr(97 + k // 10) * 3}{chr(107 + k % 10) * 3} " * 5, f"l{k:02}") for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert model.languages == tuple(sorted(r[2] for r in rows))
+    assert language.label_spans(docs, model).where("lang <> lang_pred").count() == 0
+    with pytest.raises(ValueError, match="more than 69"):
+        language.learn(docs, languages=69)
+
+
 def test_empty_model_and_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     docs = spark.createDataFrame([(1, "words here")], "doc_id long, text string")

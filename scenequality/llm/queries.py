@@ -97,11 +97,29 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.reversed_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenequality.llm.exact_dup import mark_copies
+
+    return mark_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentence_pieces, op2_token_store, op3_warc, op4_neighbours, op5_language, op6_tiff, op7_url_templates, op8_best_fit_packing,
-        op9_personal_data, op10_near_duplicates,
+        op9_personal_data, op10_near_duplicates, op11_reversed_search, op12_collocations, op13_exact_duplicates,
     )
 }
 # ---------------------------------------------------------------- SQL for what SQL can express
@@ -160,4 +178,50 @@ SELECT page_id, host, path, rule, coalesce(label, CASE WHEN purity >= {REJECT_AT
 FROM t{DEPTH} JOIN z USING (host, template)"""
 
 
-ORACLES: dict[str, str] = {"op3_warc": _OP3, "op7_url_templates": _op7()}
+
+_OP11 = r"""
+WITH i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN t USING (term) JOIN f USING (term) JOIN d USING (doc_id), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+_OP12 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, len, array_to_string(words[pos:pos + len - 1], ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, len(words) - len + 2)) AS pos FROM w, (SELECT unnest(range(1, 6)) AS len) WHERE len(words) >= len)),
+f AS MATERIALIZED (SELECT lang, len, phrase, count(*) AS a FROM g GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE len >= 2 AND a >= 100),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len = 1 GROUP BY lang),
+i AS (SELECT DISTINCT c.lang, array_to_string(words[pos:pos + size - 1], ' ') AS phrase, a
+      FROM c, (SELECT unnest(range(2, 5)) AS size), (SELECT unnest(range(1, 5)) AS pos) WHERE size < len AND pos + size - 1 <= len),
+k AS (SELECT * FROM c ANTI JOIN i ON c.lang = i.lang AND c.phrase = i.phrase AND i.a >= c.a),
+x AS (SELECT k.lang, k.phrase, k.a, cut, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:], ' ') AS tail
+      FROM k, (SELECT unnest(range(1, 5)) AS cut) WHERE cut < len),
+s AS (SELECT x.lang, x.phrase, x.a, h.a AS l, t.a AS r, n,
+             CAST(CAST(1000 AS HUGEINT) * x.a * n // (CAST(h.a AS HUGEINT) * t.a) AS BIGINT) AS score, cut
+      FROM x JOIN f h ON h.lang = x.lang AND h.phrase = head JOIN f t ON t.lang = x.lang AND t.phrase = tail JOIN n ON n.lang = x.lang
+      QUALIFY row_number() OVER (PARTITION BY x.lang, x.phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM s QUALIFY rank <= 2000"""
+
+_OP13 = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS (SELECT *, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+             row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept FROM t WINDOW g AS (PARTITION BY text))
+SELECT doc_id, keep_id, group_size, kept, sha256(text) AS text_sha256 FROM k"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc": _OP3, "op7_url_templates": _op7(), "op11_reversed_search": _OP11,
+    "op12_collocations": _OP12, "op13_exact_duplicates": _OP13,
+}

@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scenequality.llm.near_dup import mix
+from scenequality.operators.running import positions
 from scenequality.session import cut_lineage
 
 LONGEST = 5
@@ -367,9 +367,6 @@ def collocations(
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
         .select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (
-        scored.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= top)
-        .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
-    )
+    # a language may hold most phrases: they are numbered by ranges of the order, never in one task
+    placed = positions(cut_lineage(scored), ["lang"], [F.desc("score"), F.desc("a"), "phrase"], "rank", crowded=0)
+    return placed.where(F.col("rank") < top).select("lang", (F.col("rank") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -285,6 +285,13 @@ def display_bucket(scale: Column) -> Column:
             .when(scale < 0.45, F.lit("much smaller")).otherwise(F.lit("scaled")))
 
 
+def gray_values(pixels: Column) -> Column:
+    """Bytes of an 8-bit gray image as an array of numbers."""
+    digits = F.hex(pixels)
+    places = F.filter(F.sequence(F.lit(0), F.octet_length(pixels)), lambda i: i < F.octet_length(pixels))
+    return F.transform(places, lambda i: F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+
+
 def changed_pixels(a: Column, b: Column, same_size: Column, threshold: int = 60) -> Column:
     """G15 on gray-value arrays; -1 when the two images differ in size."""
     differing = F.size(F.filter(F.zip_with(a, b, lambda p, q: F.abs(p - q) > threshold), lambda v: v))

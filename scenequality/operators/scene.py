@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scenequality.functions import geometry as G
 from scenequality.functions.geometry import Box, box
-from scenequality.operators.spatial_index import AUTO, at_cell, cell_join, resolve_grid, with_cells
+from scenequality.operators.spatial_index import AUTO, CELL, at_cell, cell_join, pair_cells, resolve_grid, with_cells
 from scenequality.schemas import GEOMETRY
 from scenequality.session import cut_lineage
 
@@ -21,7 +21,7 @@ def texts_of(elements: DataFrame) -> DataFrame:
     return elements.filter(G.is_text(F.col("tag"), F.col("text"))).select("diagram_id", "seq", "element_id", "text", *BOX)
 
 
-def _renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("diagram_id", "_cx", "_cy")) -> DataFrame:
+def _renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("diagram_id", *CELL)) -> DataFrame:
     return df.select(*(F.col(c) if c in keep else F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
@@ -70,13 +70,17 @@ def containers(shapes: DataFrame, tolerance: float = 0.1, grid=AUTO) -> DataFram
     return cell_join(outer, inner, on, "left_semi").select("diagram_id", F.col("o_element_id").alias("element_id")).distinct()
 
 
-def leaves(elements: DataFrame, grid=AUTO) -> DataFrame:
-    """Shapes that are neither containers nor arrowheads (polygons without a label)."""
+def leaves(elements: DataFrame, grid=AUTO, texts: DataFrame | None = None) -> DataFrame:
+    """Shapes that are neither containers nor arrowheads (polygons without a label).
+
+    ``texts``: the result of ``smallest_container``, where it is there already.
+    """
     shapes = shapes_of(elements)
     grid = resolve_grid(grid, shapes)
     kept = shapes.join(containers(shapes, grid=grid), ["diagram_id", "element_id"], "left_anti")
     polygons = kept.filter(F.col("tag") == "polygon").select("diagram_id", "seq")
-    named = labeled_shapes(elements, grid).filter(F.col("shape_tag") == "polygon").select(
+    texts = smallest_container(elements, grid) if texts is None else texts
+    named = texts.filter(F.col("shape_tag") == "polygon").select(
         "diagram_id", F.col("shape_seq").alias("seq"))
     bare = polygons.join(named, ["diagram_id", "seq"], "left_anti")
     return kept.join(bare, ["diagram_id", "seq"], "left_anti")
@@ -124,8 +128,8 @@ def _first_in_grid(left: DataFrame, right: DataFrame, threshold: float, grid: Da
     owners = _two_first(right)
     spots = left.select(*keys).distinct()
     a, b = box(prefix="a_"), box(prefix="b_")
-    la = _renamed(with_cells(spots, box(), grid), "a_")
-    rb = _renamed(with_cells(owners.drop("second"), box(), grid), "b_")
+    spots, held = pair_cells(spots, box(), owners.drop("second"), box(), grid)
+    la, rb = _renamed(spots, "a_"), _renamed(held, "b_")
     differs = (a.x != b.x) | (a.y != b.y) | (a.w != b.w) | (a.h != b.h)
     pairs = cell_join(la, rb, G.intersects(a, b) & differs & (G.overlap_fraction(a, b) > threshold))
     other = pairs.groupBy("diagram_id", *(f"a_{c}" for c in BOX)).agg(F.min("b_first").alias("other"))
@@ -173,10 +177,13 @@ def overlap_metric(collisions: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 # --- J11 ---
-def text_overflow(elements: DataFrame, grid=AUTO) -> DataFrame:
-    """Every text with ``issue``: 'overflow' (leaves its box), 'collision' (free text on another text) or null."""
+def text_overflow(elements: DataFrame, grid=AUTO, texts: DataFrame | None = None) -> DataFrame:
+    """Every text with ``issue``: 'overflow' (leaves its box), 'collision' (free text on another text) or null.
+
+    ``texts``: the written result of ``smallest_container``, where it is there already.
+    """
     grid = resolve_grid(grid, elements)
-    placed = cut_lineage(smallest_container(elements, grid))  # the inside and the free texts
+    placed = cut_lineage(smallest_container(elements, grid)) if texts is None else texts  # the inside and the free texts
     t, s = box(prefix="text_"), box(prefix="shape_")
     inside = placed.filter(F.col("shape_seq").isNotNull()).select(
         "diagram_id", "text_id", F.col("shape_id").alias("other_id"),
@@ -236,10 +243,13 @@ def font_checks(elements: DataFrame, canvases: DataFrame, minimum: float = GEOME
 
 
 # --- J10 ---
-def unexpected_boxes(elements: DataFrame, matches: DataFrame, grid=AUTO) -> DataFrame:
-    """Labelled shapes that are no match and enclose none; one row per shape with its first text."""
+def unexpected_boxes(elements: DataFrame, matches: DataFrame, grid=AUTO, texts: DataFrame | None = None) -> DataFrame:
+    """Labelled shapes that are no match and enclose none; one row per shape with its first text.
+
+    ``texts``: the result of ``smallest_container``, where it is there already.
+    """
     grid = resolve_grid(grid, shapes_of(elements))
-    items = labeled_shapes(elements, grid)
+    items = labeled_shapes(elements, grid) if texts is None else texts.filter(F.col("shape_seq").isNotNull())
     shapes = matches.select("diagram_id", "shape_seq").distinct()
     texts = matches.filter("text_seq is not null").select("diagram_id", "text_seq").distinct()
     rest = items.join(shapes, ["diagram_id", "shape_seq"], "left_anti").join(texts, ["diagram_id", "text_seq"], "left_anti")

@@ -142,15 +142,27 @@ def first_per_level(items: DataFrame, n: int) -> DataFrame:
 
 # --- K1, J21, W6 ---
 def export_rows(sessions: DataFrame, ratings: DataFrame, catalog: DataFrame, scope: str = "completed") -> DataFrame:
-    """One row per session and assigned drawing, blanks where unrated."""
+    """One row per session and assigned drawing, blanks where unrated.
+
+    ``sessions`` may hold study_version, mode, participant_code, participant_name, set_number and started_at, and
+    ``catalog`` source, sha256, label and defects; what they lack is blank in the export.
+    """
     kept = sessions if scope == "all" else sessions.filter(F.col("submitted_at").isNotNull())
-    rows = kept.select("session_id", "submitted_at", F.posexplode("assignment").alias("_k", "diagram_id"))
-    rated = rows.join(ratings, ["session_id", "diagram_id"], "left").join(catalog, "diagram_id", "left")
-    status = F.when(F.col("submitted_at").isNotNull(), F.lit("completed")).otherwise(F.lit("in_progress"))
+    given = lambda df, names: {out: F.col(c) if c in df.columns else F.lit(None).cast("string") for out, c in names.items()}
+    who = given(kept, {c: c for c in ("study_version", "mode", "participant_code", "participant_name", "set_number")}
+                | {"session_started_at": "started_at", "session_submitted_at": "submitted_at"})
+    what = given(catalog, {"diagram_source": "source", "image_sha256": "sha256", "label": "label", "defects": "defects"})
+    people = kept.select("session_id", *(c.alias(n) for n, c in who.items()), F.posexplode("assignment").alias("_k", "diagram_id"))
+    shown = catalog.select("diagram_id", "difficulty", *(c.alias(n) for n, c in what.items()))
+    rated = people.join(ratings, ["session_id", "diagram_id"], "left").join(shown, "diagram_id", "left")
+    status = F.when(F.col("session_submitted_at").isNotNull(), F.lit("completed")).otherwise(F.lit("in_progress"))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return rated.select(
-        "session_id", status.alias("session_status"), "diagram_id", "difficulty", (F.col("_k") + 1).alias("presentation_order"),
-        *(F.col("scores")[k].alias(k) for k in SCORE_KEYS), F.coalesce(F.col("complete").cast("int"), F.lit(0)).alias("rating_complete"),
-        F.coalesce("comment", F.lit("")).alias("comment"), F.col("duration_ms").alias("active_duration_ms"))
+        "session_id", *map(blank, ("study_version", "mode", "participant_code", "participant_name", "set_number")), status.alias("session_status"),
+        "diagram_id", *map(blank, ("diagram_source", "image_sha256")), "difficulty", *map(blank, ("label", "defects")),
+        (F.col("_k") + 1).alias("presentation_order"), *(F.col("scores")[k].alias(k) for k in SCORE_KEYS),
+        F.coalesce(F.col("complete").cast("int"), F.lit(0)).alias("rating_complete"), F.coalesce("comment", F.lit("")).alias("comment"),
+        F.col("duration_ms").alias("active_duration_ms"), "session_started_at", F.col("updated_at").alias("rating_updated_at"), "session_submitted_at")
 
 
 # --- A18 ---

@@ -1,6 +1,7 @@
 """Driver-table bindings, registered queries and their SQL oracles."""
 
-from scenequality.plans import agreement_queries, file_queries, panel_queries, scene_queries, study_queries  # noqa: F401
+from scenequality.plans import (  # noqa: F401
+    agreement_queries, answer_queries, file_queries, panel_queries, record_queries, scene_queries, study_queries)
 from scenequality.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -116,6 +116,22 @@ def _views(engine: str) -> dict[str, tuple[str, tuple[str, ...]]]:
                    s.y + s.h / 2 - 6e-1 * s.font + CASE WHEN s.pk % 9 = 0 THEN 30 ELSE 0 END AS text_y,
                    tw AS text_w, 12e-1 * s.font AS text_h
             FROM (SELECT *, greatest(font * 6e-1 * length(text), font * 4e-1) AS tw FROM slots) s""", ("slots",)),
+        # --- a judge's answer about each drawing: components, connections, and what it says besides ---
+        "said": ("""
+            SELECT diagram_id, idx, component_id, label, kind, tier, verdict, visible_text, legible, pixels,
+                   x0 / 1e2 AS x0, y0 / 1e2 AS y0, CASE WHEN empty THEN x0 ELSE x0 + 20 + base % 20 END / 1e2 AS x1, (y0 + 15 + base % 7) / 1e2 AS y1
+            FROM (SELECT diagram_id, CAST(slot - 1 AS INT) AS idx, 'K' || CAST(slot AS STRING) AS component_id, pk % 13 = 5 AS empty, base, pk % 6 = 1 AS pixels,
+                         CASE WHEN diagram_id % 5 = 0 THEN 'Stage' ELSE p_name END AS label, 'box' AS kind,
+                         CASE WHEN slot = 6 THEN 'typical' ELSE 'required' END AS tier,
+                         CASE pk % 9 WHEN 0 THEN 'absent' WHEN 1 THEN 'mislabeled' WHEN 2 THEN 'uncertain' ELSE 'present' END AS verdict,
+                         CASE WHEN pk % 11 = 3 THEN ' ' ELSE text END AS visible_text, pk % 7 <> 2 AS legible,
+                         base % 50 AS x0, base % 40 AS y0
+                  FROM (SELECT *, CASE WHEN diagram_id % 4 = 0 THEN diagram_id ELSE pk END AS base FROM slots) s) t""", ("slots",)),
+        "told": ("""
+            SELECT diagram_id, pos, 'C' || CAST(pos + 1 AS STRING) AS connection_id, source, target, label, tier,
+                   CASE (diagram_id + pos) % 6 WHEN 0 THEN 'reversed' WHEN 1 THEN 'absent' WHEN 2 THEN 'uncertain' ELSE 'present' END AS verdict,
+                   CASE WHEN label = '' THEN '' WHEN (diagram_id + pos) % 3 = 0 THEN ' yes ' ELSE 'No' END AS visible_label, (diagram_id + pos) % 8 <> 3 AS legible
+            FROM (SELECT *, CAST(row_number() OVER (PARTITION BY diagram_id ORDER BY idx) - 1 AS BIGINT) AS pos FROM chain) c""", ("chain",)),
         # --- judges' counts from events ---
         "panel": ("""
             SELECT CAST(CAST(ts AS DATE) AS STRING) AS diagram_id, event_id, user_id AS judge,

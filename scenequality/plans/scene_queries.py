@@ -6,13 +6,11 @@ from pyspark.sql import functions as F
 
 from scenequality.functions import geometry as G
 from scenequality.functions import labels as L
-from scenequality.operators import beauty as Y, connectors as C, graph as R, matching as M, panel as P, scene as S, spatial_rules as Q
+from scenequality.operators import beauty as Y, connectors as C, evaluation as E, graph as R, matching as M, panel as P, scene as S, spatial_rules as Q
 from scenequality.operators.agreement import spread
 from scenequality.plans.bindings import elements, view
 from scenequality.plans.registry import query, r6, sql6
-from scenequality.operators.spatial_index import drawing_grid
-from scenequality.schemas import criteria_table
-from scenequality.session import cut_lineage
+from scenequality.schemas import RUBRIC, criteria_table
 from scenequality.sources import markup
 
 # --- oracle fragments ---
@@ -121,46 +119,13 @@ def outside_canvas(spark, sf):
     return S.canvas_units(_els(spark, sf), canvas(spark, sf), matches(spark, sf))
 
 
-@query("scene_overall_score", (*_CANVAS_VIEWS, "canvas"), f"""
-    , m AS (SELECT diagram_id, 'layout' AS dimension, count(*) AS e, count(*) FILTER (EXISTS (SELECT 1 FROM collide c WHERE c.diagram_id = l.diagram_id AND c.element_id = l.element_id)) AS i
-            FROM leaves l GROUP BY diagram_id
-            UNION ALL SELECT diagram_id, 'layout', count(*), count(*) FILTER (outside) FROM units GROUP BY diagram_id
-            UNION ALL SELECT diagram_id, 'legibility', count(*), count(*) FILTER (small) FROM fonts GROUP BY diagram_id
-            UNION ALL SELECT diagram_id, 'legibility', count(*), count(issue) FROM overflow GROUP BY diagram_id),
-    d AS (SELECT diagram_id, dimension, min(least(greatest(0, least(1, (e - i) / e)), power(75e-2, i))) AS score FROM m GROUP BY ALL)
-    SELECT diagram_id, {sql6('avg(score)', 'overall')}, count(*) AS dimensions FROM d GROUP BY ALL""",
-    f"{_SHAPES}, {_TEXTS}, {_CONTAINERS}, {_LEAVES}, {_COLLIDE}, {_PLACED}, {_OVERFLOW}, {_FONTS}, {_ELS}, {_UNITS}")
-def scene_overall_score(spark, sf):
-    """Geometry checks of every drawing to one weighted score."""
-    els = _els(spark, sf)
-    shapes = _els(spark, sf, "rects", "backgrounds")
-    texts = _els(spark, sf, "texts", "arrow_texts")
-    both = _els(spark, sf, "rects", "backgrounds", "texts", "arrow_texts")
-    grid = drawing_grid(both)
-    pool = cut_lineage(S.leaves(shapes, grid))
-    played = cut_lineage(matches(spark, sf))
-    parts = {
-        ("layout.overlap", "layout"): S.overlap_metric(S.shape_collisions(shapes, shapes=pool, grid=grid), pool),
-        ("layout.canvas", "layout"): S.flag_metric(S.canvas_units(els, canvas(spark, sf), played), "outside"),
-        ("legibility.minimum_font", "legibility"): S.flag_metric(S.font_checks(texts, canvas(spark, sf)), "small"),
-        ("legibility.overflow", "legibility"): S.overflow_metric(S.text_overflow(both, grid)),
-    }
-    rows = None
-    for (criterion, dimension), counts in parts.items():
-        one = counts.select("diagram_id", F.lit(criterion).alias("criterion_id"), F.lit(dimension).alias("dimension"),
-                            F.lit("geometry").alias("judge"), "expected_count", "detected_issues")
-        rows = one if rows is None else rows.unionByName(one)
-    rubric = criteria_table(spark)
-    out = P.weighted_overall(P.aggregate_panel(rows, rubric, "minimum", 0.75), P.equal_weights(rubric))
-    return out.select("diagram_id", r6(F.col("overall"), "overall"), "dimensions")
-
-
-@query("unexpected_boxes", (*_SHAPE_VIEWS, *_TEXT_VIEWS, "slot_matches"), f"""
-    , rest AS (SELECT * FROM placed p WHERE shape_seq IS NOT NULL
+_UNEXPECTED = """unexpected AS (SELECT diagram_id, shape_id, arg_min(text, text_seq) AS text FROM placed p WHERE shape_seq IS NOT NULL
         AND (diagram_id, shape_seq) NOT IN (SELECT diagram_id, shape_seq FROM slot_matches) AND (diagram_id, text_seq) NOT IN (SELECT diagram_id, text_seq FROM slot_matches)
         AND NOT EXISTS (SELECT 1 FROM slot_matches m WHERE m.diagram_id = p.diagram_id AND sx <= shape_x AND sy <= shape_y
-                        AND sx + sw >= shape_x + shape_w AND sy + sh >= shape_y + shape_h))
-    SELECT diagram_id, shape_id, arg_min(text, text_seq) AS text FROM rest GROUP BY ALL""", f"{_SHAPES}, {_TEXTS}, {_PLACED}")
+                        AND sx + sw >= shape_x + shape_w AND sy + sh >= shape_y + shape_h) GROUP BY ALL)"""
+
+
+@query("unexpected_boxes", (*_SHAPE_VIEWS, *_TEXT_VIEWS, "slot_matches"), "SELECT * FROM unexpected", f"{_SHAPES}, {_TEXTS}, {_PLACED}, {_UNEXPECTED}")
 def unexpected_boxes(spark, sf):
     return S.unexpected_boxes(_els(spark, sf, "rects", "backgrounds", "texts", "arrow_texts"), matches(spark, sf))
 
@@ -191,29 +156,29 @@ _DIRECTED = """ends AS (SELECT diagram_id, seq, element_id, x1, y1, x2, y2, mark
     CASE WHEN marker_start <> '' AND marker_end = '' THEN x1 ELSE x2 END AS hx, CASE WHEN marker_start <> '' AND marker_end = '' THEN y1 ELSE y2 END AS hy FROM lines)"""
 
 
-def _nearest(name, px, py):
-    d = _dist(f"e.{px}", f"e.{py}", "m")
-    return f"""{name} AS (SELECT e.diagram_id, e.seq, m.component_id FROM ends e JOIN slot_matches m ON e.diagram_id = m.diagram_id AND {d} <= 175e-1
-        QUALIFY row_number() OVER (PARTITION BY e.diagram_id, e.seq ORDER BY {d}, m.shape_w * m.shape_h, m.match_order) = 1)"""
-
-
-_ARROWS = f"""{_DIRECTED}, {_nearest('tails', 'tx', 'ty')}, {_nearest('heads', 'hx', 'hy')},
-    attached AS (SELECT e.diagram_id, e.seq, e.element_id, e.x1, e.y1, e.x2, e.y2, e.has_head, t.component_id AS source, h.component_id AS target FROM ends e
-        LEFT JOIN tails t ON e.diagram_id = t.diagram_id AND e.seq = t.seq LEFT JOIN heads h ON e.diagram_id = h.diagram_id AND e.seq = h.seq),
+# distances of both ends to every matched shape of the drawing, computed once; the nearest in reach wins
+_ARROWS = f"""{_DIRECTED},
+    reached AS MATERIALIZED (SELECT e.diagram_id, e.seq, m.component_id, m.shape_w * m.shape_h AS area, m.match_order,
+        {_dist('e.tx', 'e.ty', 'm')} AS dt, {_dist('e.hx', 'e.hy', 'm')} AS dh FROM ends e JOIN slot_matches m ON e.diagram_id = m.diagram_id),
+    nearest AS (SELECT diagram_id, seq,
+        arg_min(component_id, {{'d': dt, 'a': area, 'o': match_order}}) FILTER (dt <= 175e-1) AS source,
+        arg_min(component_id, {{'d': dh, 'a': area, 'o': match_order}}) FILTER (dh <= 175e-1) AS target FROM reached GROUP BY ALL),
+    attached AS MATERIALIZED (SELECT e.diagram_id, e.seq, e.element_id, e.x1, e.y1, e.x2, e.y2, e.has_head, n.source, n.target FROM ends e
+        LEFT JOIN nearest n ON e.diagram_id = n.diagram_id AND e.seq = n.seq),
     arrows AS (SELECT * FROM attached WHERE has_head OR source IS DISTINCT FROM target)"""
 _ARROW_VIEWS = ("lines", "slot_matches", "connections")
 # the k-th expected edge of a pair takes the k-th arrow; leftovers meet in the opposite direction
-_RECONCILE = """ex AS (SELECT *, row_number() OVER (PARTITION BY diagram_id, source, target ORDER BY idx) AS k FROM connections),
-    ar AS (SELECT *, row_number() OVER (PARTITION BY diagram_id, source, target ORDER BY seq) AS k FROM arrows WHERE source IS NOT NULL AND target IS NOT NULL),
-    p1 AS (SELECT ex.diagram_id, ex.connection_id, ar.seq, ar.element_id FROM ex JOIN ar USING (diagram_id, source, target, k)),
-    ex2 AS (SELECT *, row_number() OVER (PARTITION BY diagram_id, source, target ORDER BY idx) AS k2 FROM ex WHERE (diagram_id, connection_id) NOT IN (SELECT diagram_id, connection_id FROM p1)),
-    ar2 AS (SELECT *, row_number() OVER (PARTITION BY diagram_id, source, target ORDER BY seq) AS k2 FROM ar WHERE (diagram_id, seq) NOT IN (SELECT diagram_id, seq FROM p1)),
-    p2 AS (SELECT a.diagram_id, a.connection_id, b.seq, b.element_id FROM ex2 a JOIN ar2 b ON a.diagram_id = b.diagram_id AND a.source = b.target AND a.target = b.source AND a.k2 = b.k2),
+_RECONCILE = """ex AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY diagram_id, source, target ORDER BY idx) AS k FROM connections),
+    ar AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY diagram_id, source, target ORDER BY seq) AS k FROM arrows WHERE source IS NOT NULL AND target IS NOT NULL),
+    p1 AS MATERIALIZED (SELECT ex.diagram_id, ex.connection_id, ar.seq, ar.element_id FROM ex JOIN ar USING (diagram_id, source, target, k)),
+    ex2 AS (SELECT *, row_number() OVER (PARTITION BY diagram_id, source, target ORDER BY idx) AS k2 FROM ex ANTI JOIN p1 USING (diagram_id, connection_id)),
+    ar2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY diagram_id, source, target ORDER BY seq) AS k2 FROM ar ANTI JOIN p1 USING (diagram_id, seq)),
+    p2 AS MATERIALIZED (SELECT a.diagram_id, a.connection_id, b.seq, b.element_id FROM ex2 a JOIN ar2 b ON a.diagram_id = b.diagram_id AND a.source = b.target AND a.target = b.source AND a.k2 = b.k2),
     verdicts AS (SELECT c.diagram_id, c.connection_id, c.source, c.target, c.label, c.tier, coalesce(p1.seq, p2.seq) AS arrow_seq,
             CASE WHEN p1.seq IS NOT NULL THEN 'present' WHEN p2.seq IS NOT NULL THEN 'reversed' ELSE 'absent' END AS status, coalesce(p1.element_id, p2.element_id) AS arrow_id
         FROM connections c LEFT JOIN p1 ON c.diagram_id = p1.diagram_id AND c.connection_id = p1.connection_id
         LEFT JOIN p2 ON c.diagram_id = p2.diagram_id AND c.connection_id = p2.connection_id),
-    extras AS (SELECT diagram_id, element_id, 'unmatched' AS reason FROM ar2 WHERE (diagram_id, seq) NOT IN (SELECT diagram_id, seq FROM p2)
+    extras AS (SELECT diagram_id, element_id, 'unmatched' AS reason FROM ar2 ANTI JOIN p2 USING (diagram_id, seq)
         UNION ALL SELECT diagram_id, element_id, CASE WHEN source IS NULL AND target IS NULL THEN 'both ends loose' ELSE 'one end loose' END
         FROM arrows WHERE source IS NULL OR target IS NULL)"""
 
@@ -300,11 +265,13 @@ def component_metrics(spark, sf):
     return P.component_metrics(_verdicts(spark, sf), typical).select("diagram_id", "criterion_id", "expected_count", "detected_issues")
 
 
-@query("connection_metrics", (*_ARROW_VIEWS, *_TEXT_VIEWS, "components"), """
-    , app AS (SELECT v.*, l.visible_label FROM verdicts v LEFT JOIN arrowlabels l ON v.diagram_id = l.diagram_id AND v.arrow_seq = l.arrow_seq
+_APP = """app AS (SELECT v.*, l.visible_label FROM verdicts v LEFT JOIN arrowlabels l ON v.diagram_id = l.diagram_id AND v.arrow_seq = l.arrow_seq
               WHERE (v.diagram_id, source) IN (SELECT diagram_id, component_id FROM cv WHERE verdict <> 'absent')
-                AND (v.diagram_id, target) IN (SELECT diagram_id, component_id FROM cv WHERE verdict <> 'absent')),
-    q AS (SELECT diagram_id, count(*) FILTER (tier <> 'typical') AS re, count(*) FILTER (tier <> 'typical' AND status = 'absent') AS ri,
+                AND (v.diagram_id, target) IN (SELECT diagram_id, component_id FROM cv WHERE verdict <> 'absent'))"""
+
+
+@query("connection_metrics", (*_ARROW_VIEWS, *_TEXT_VIEWS, "components"), """
+    , q AS (SELECT diagram_id, count(*) FILTER (tier <> 'typical') AS re, count(*) FILTER (tier <> 'typical' AND status = 'absent') AS ri,
                  count(*) FILTER (status <> 'absent') AS pe, count(*) FILTER (status = 'reversed' AND tier <> 'typical') AS pi,
                  count(*) FILTER (status <> 'absent' AND label <> '') AS le,
                  count(*) FILTER (status <> 'absent' AND label <> '' AND coalesce(lower(visible_label), '') <> 'yes') AS li FROM app GROUP BY ALL),
@@ -313,7 +280,7 @@ def component_metrics(spark, sf):
                  coalesce(pi, 0) + coalesce(n, 0) AS pi, coalesce(le, 0) AS le, coalesce(li, 0) AS li FROM q FULL JOIN x ON q.diagram_id = x.diagram_id)
     SELECT diagram_id, 'connectivity.connections' AS criterion_id, re AS expected_count, ri AS detected_issues FROM z
     UNION ALL SELECT diagram_id, 'connectivity.endpoints', pe, pi FROM z UNION ALL SELECT diagram_id, 'details.connection_labels', le, li FROM z""",
-    f"{_KEPT}, {_VERDICTS}, {_TEXTS}, {_ARROWS}, {_RECONCILE}, {_ARROW_LABELS}")
+    f"{_KEPT}, {_VERDICTS}, {_TEXTS}, {_ARROWS}, {_RECONCILE}, {_ARROW_LABELS}, {_APP}")
 def connection_metrics(spark, sf):
     arrows = _arrows(spark, sf)
     links, extras = C.reconcile(connections(spark, sf), arrows)
@@ -360,8 +327,7 @@ def label_scores(spark, sf):
         L.is_placeholder(F.col("text"), a).alias("placeholder"))
 
 
-@query("label_assignment", (*_SHAPE_VIEWS, "texts", "components"), """
-    , cand AS (SELECT p.diagram_id, c.idx, c.component_id, p.text_seq, p.text_id, p.shape_id, p.sy, p.sx,
+_ASSIGNED = """cand AS (SELECT p.diagram_id, c.idx, c.component_id, p.text_seq, p.text_id, p.shape_seq, p.shape_id, p.sy, p.sx,
             array_to_string(regexp_extract_all(lower(c.label), '[a-z0-9]+'), ' ') AS e, array_to_string(regexp_extract_all(lower(p.text), '[a-z0-9]+'), ' ') AS a, lower(c.component_id) AS i
             FROM placed p JOIN components c ON p.diagram_id = c.diagram_id WHERE p.shape_seq IS NOT NULL),
     l AS (SELECT *, list_distinct(string_split(e, ' ')) AS et, list_distinct(string_split(a, ' ')) AS tt FROM cand),
@@ -371,27 +337,107 @@ def label_scores(spark, sf):
     g AS (SELECT diagram_id, list_reduce(list_prepend({'n': [0], 'c': [-1], 't': [CAST(-1 AS BIGINT)]}, list({'n': [CAST(r AS INTEGER)], 'c': [idx], 't': [text_seq]} ORDER BY r)),
             lambda x, y: CASE WHEN list_contains(x.c, y.c[1]) OR list_contains(x.t, y.t[1]) THEN x
                          ELSE {'n': list_concat(x.n, y.n), 'c': list_concat(x.c, y.c), 't': list_concat(x.t, y.t)} END) AS won FROM o GROUP BY diagram_id),
-    w AS (SELECT diagram_id, unnest(won.n) AS r FROM g)
-    SELECT o.diagram_id, o.component_id, o.text_id, o.shape_id, round(o.sim, 6) + 0.0e0 AS similarity FROM o JOIN w ON o.diagram_id = w.diagram_id AND o.r = w.r""",
-    f"{_SHAPES}, alltexts AS (SELECT * FROM texts), {_PLACED}")
+    w AS (SELECT diagram_id, unnest(won.n) AS r FROM g),
+    assigned AS MATERIALIZED (SELECT o.* FROM o JOIN w ON o.diagram_id = w.diagram_id AND o.r = w.r)"""
+
+
+@query("label_assignment", (*_SHAPE_VIEWS, "texts", "components"), """
+    SELECT diagram_id, component_id, text_id, shape_id, round(sim, 6) + 0.0e0 AS similarity FROM assigned""",
+    f"{_SHAPES}, alltexts AS (SELECT * FROM texts), {_PLACED}, {_ASSIGNED}")
 def label_assignment(spark, sf):
     els = _els(spark, sf, "rects", "backgrounds", "texts")
     return M.match_labels(els, components(spark, sf), ascii_only=True).select(
         "diagram_id", "component_id", "text_id", "shape_id", r6(F.col("similarity"), "similarity"))
 
 
-@query("role_recovery")
+# one component per drawing and step: the one with most drawn links to matched parts, if a single unused element has them
+_ROLES = f"""ends2 AS (SELECT diagram_id, seq, 'tail' AS side, tx AS px, ty AS py FROM ends UNION ALL SELECT diagram_id, seq, 'head', hx, hy FROM ends),
+    near AS MATERIALIZED (SELECT e.diagram_id, e.seq, e.side, s.seq AS shape, s.w * s.h AS area,
+        sqrt(power(greatest(s.x - px, 0, px - (s.x + s.w)), 2) + power(greatest(s.y - py, 0, py - (s.y + s.h)), 2)) AS d
+        FROM ends2 e JOIN shapes s ON e.diagram_id = s.diagram_id
+        WHERE sqrt(power(greatest(s.x - px, 0, px - (s.x + s.w)), 2) + power(greatest(s.y - py, 0, py - (s.y + s.h)), 2)) <= 175e-1),
+    holds AS MATERIALIZED (SELECT a.diagram_id, a.seq AS outer_, b.seq AS inner_ FROM shapes a JOIN shapes b ON a.diagram_id = b.diagram_id AND {_contains('a', 'b')}),
+    sides AS MATERIALIZED (SELECT DISTINCT diagram_id, target AS component_id, source AS other, 'in' AS way FROM connections
+        UNION SELECT DISTINCT diagram_id, source, target, 'out' FROM connections)"""
+_RECOVERED = """SELECT DISTINCT f.diagram_id, f.c AS component_id, CASE WHEN f.k < f.n THEN 'label' ELSE 'role' END AS method, s.element_id AS shape_id FROM (
+    WITH RECURSIVE rec AS (
+        SELECT diagram_id, count(*) AS n, list({'c': component_id, 's': shape_seq, 'k': k} ORDER BY k) AS ms FROM (
+            SELECT *, row_number() OVER (PARTITION BY diagram_id ORDER BY r) - 1 AS k FROM assigned) GROUP BY diagram_id
+        UNION ALL
+        (WITH m AS (SELECT diagram_id, u.c AS component_id, u.s AS shape, u.k AS k FROM (SELECT diagram_id, unnest(ms) AS u FROM rec)),
+        blocked AS (SELECT DISTINCT h.diagram_id, h.outer_ AS shape FROM m JOIN holds h ON h.diagram_id = m.diagram_id AND h.inner_ = m.shape),
+        own AS (SELECT diagram_id, shape, arg_min(component_id, k) AS component_id, min(k) AS k FROM m GROUP BY ALL),
+        pool AS (SELECT n.diagram_id, n.seq, n.side, arg_min({'c': o.component_id, 's': n.shape}, {'d': d, 'a': area, 'l': o.k IS NULL, 'o': coalesce(o.k, n.shape)}) AS hit
+            FROM near n JOIN (SELECT DISTINCT diagram_id FROM m) USING (diagram_id)
+            LEFT JOIN own o ON o.diagram_id = n.diagram_id AND o.shape = n.shape LEFT JOIN blocked b ON b.diagram_id = n.diagram_id AND b.shape = n.shape
+            WHERE o.k IS NOT NULL OR b.shape IS NULL GROUP BY ALL),
+        links AS (SELECT a.diagram_id, a.hit.c AS ac, a.hit.s AS sa, b.hit.c AS bc, b.hit.s AS sb FROM pool a JOIN pool b
+            ON a.diagram_id = b.diagram_id AND a.seq = b.seq AND a.side = 'tail' AND b.side = 'head'),
+        drawn AS (SELECT diagram_id, ac AS other, sb AS shape, 'in' AS way FROM links WHERE ac IS NOT NULL AND bc IS NULL
+            UNION SELECT diagram_id, bc, sa, 'out' FROM links WHERE bc IS NOT NULL AND ac IS NULL),
+        support AS (SELECT c.diagram_id, c.component_id, c.idx, d.shape, count(*) AS links FROM components c JOIN sides e USING (diagram_id, component_id)
+            JOIN drawn d ON d.diagram_id = c.diagram_id AND d.other = e.other AND d.way = e.way ANTI JOIN m ON m.diagram_id = c.diagram_id AND m.component_id = c.component_id GROUP BY ALL),
+        top AS (SELECT diagram_id, component_id, idx, max(links) AS links, arg_max(shape, links) AS shape, list(links) AS every FROM support GROUP BY ALL),
+        chosen AS (SELECT diagram_id, arg_min({'c': component_id, 's': shape}, {'l': -links, 'i': idx}) AS pick FROM top
+            WHERE links >= 2 AND len(list_filter(every, lambda v: v = links)) = 1 GROUP BY diagram_id)
+        SELECT r.diagram_id, r.n, list_append(r.ms, {'c': pick.c, 's': pick.s, 'k': CAST(len(r.ms) AS BIGINT)}) FROM rec r JOIN chosen USING (diagram_id)))
+    SELECT diagram_id, n, u.c AS c, u.s AS s, u.k AS k FROM (SELECT diagram_id, n, unnest(ms) AS u FROM rec)) f
+    JOIN shapes s ON s.diagram_id = f.diagram_id AND s.seq = f.s"""
+
+
+@query("role_recovery", (*_SHAPE_VIEWS, *_TEXT_VIEWS, "lines", "components", "connections"), _RECOVERED,
+       f"{_SHAPES}, {_TEXTS}, {_PLACED}, {_ASSIGNED}, {_DIRECTED}, {_ROLES}")
 def role_recovery(spark, sf):
-    """Label matches completed by connection evidence (iterative: rows only)."""
+    """Label matches completed by connection evidence."""
     els = _els(spark, sf)
     found = M.match_labels(els, components(spark, sf), ascii_only=True)
     out = M.recover_roles(els, components(spark, sf), connections(spark, sf), found, canvas(spark, sf), ascii_only=True)
     return out.select("diagram_id", "component_id", "method", "shape_id")
 
 
-@query("unique_graph")
+# every way to lay the expected graph over the drawn one, component by component; a drawing counts if there is exactly one
+_LAID = f"""gnodes AS MATERIALIZED (SELECT * FROM shapes a WHERE NOT EXISTS (SELECT 1 FROM shapes b WHERE a.diagram_id = b.diagram_id AND a.seq <> b.seq
+        AND a.w * a.h > b.w * b.h AND {_contains('a', 'b', '1e-1')})),
+    gends AS (SELECT diagram_id, seq, 's' AS side, tx AS px, ty AS py FROM ends UNION ALL SELECT diagram_id, seq, 't', hx, hy FROM ends),
+    gdist AS (SELECT e.diagram_id, e.seq, e.side, n.element_id, n.seq AS o, n.w * n.h AS area,
+        sqrt(power(greatest(n.x - px, 0, px - (n.x + n.w)), 2) + power(greatest(n.y - py, 0, py - (n.y + n.h)), 2)) AS d FROM gends e JOIN gnodes n ON e.diagram_id = n.diagram_id),
+    gnear AS (SELECT diagram_id, seq, arg_min(element_id, {{'d': d, 'a': area, 'o': o}}) FILTER (side = 's') AS s, arg_min(element_id, {{'d': d, 'a': area, 'o': o}}) FILTER (side = 't') AS t
+        FROM gdist WHERE d <= 175e-1 GROUP BY ALL),
+    gat AS MATERIALIZED (SELECT l.diagram_id, l.seq, s, t FROM ends l LEFT JOIN gnear n ON l.diagram_id = n.diagram_id AND l.seq = n.seq),
+    gexp AS MATERIALIZED (SELECT DISTINCT diagram_id, source AS s, target AS t FROM connections),
+    gcid AS MATERIALIZED (SELECT diagram_id, s AS node FROM gexp UNION SELECT diagram_id, t FROM gexp),
+    gtouch AS MATERIALIZED (SELECT diagram_id, s AS node FROM gat WHERE s IS NOT NULL AND t IS NOT NULL UNION SELECT diagram_id, t FROM gat WHERE s IS NOT NULL AND t IS NOT NULL),
+    gfit AS MATERIALIZED (SELECT diagram_id FROM (SELECT diagram_id, count(*) AS n, count(*) FILTER (s IS NULL OR t IS NULL) AS loose FROM gat GROUP BY diagram_id)
+        JOIN (SELECT diagram_id, count(*) AS e FROM gexp GROUP BY diagram_id) USING (diagram_id) JOIN (SELECT diagram_id, count(*) AS c FROM gcid GROUP BY diagram_id) USING (diagram_id)
+        JOIN (SELECT diagram_id, count(*) AS u FROM gtouch GROUP BY diagram_id) USING (diagram_id) WHERE loose = 0 AND n = e AND c = u),
+    ganchor AS (SELECT m.diagram_id, m.component_id, m.shape_id FROM slot_matches m JOIN components c USING (diagram_id, component_id) JOIN gcid k ON k.diagram_id = m.diagram_id AND k.node = m.component_id
+        WHERE lower(m.text) = lower(c.label) AND (SELECT count(*) FROM components o WHERE o.diagram_id = c.diagram_id AND lower(o.label) = lower(c.label)) = 1),
+    gleft AS MATERIALIZED (SELECT k.diagram_id, k.node, a.component_id AS anchor, row_number() OVER (PARTITION BY k.diagram_id ORDER BY k.node) AS i FROM gcid k JOIN gfit USING (diagram_id)
+        LEFT JOIN ganchor a ON a.diagram_id = k.diagram_id AND a.component_id = k.node),
+    gright AS MATERIALIZED (SELECT k.diagram_id, k.node, min(a.component_id) AS anchor FROM gtouch k JOIN gfit USING (diagram_id)
+        LEFT JOIN ganchor a ON a.diagram_id = k.diagram_id AND a.shape_id = k.node GROUP BY ALL),
+    gsets AS MATERIALIZED (SELECT diagram_id, (SELECT list(s || '>' || t) FROM gexp e WHERE e.diagram_id = f.diagram_id) AS es,
+        (SELECT list(DISTINCT s || '>' || t) FROM gat e WHERE e.diagram_id = f.diagram_id) AS ds FROM gfit f)"""
+_UNIQUE = """, sol AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE rec AS (
+        SELECT diagram_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS cids, CAST([] AS VARCHAR[]) AS nodes FROM gfit
+        UNION ALL
+        SELECT r.diagram_id, r.k + 1, list_append(cids, l.node), list_append(nodes, g.node) FROM rec r JOIN gleft l ON l.diagram_id = r.diagram_id AND l.i = r.k + 1
+            JOIN gright g ON g.diagram_id = r.diagram_id AND coalesce(g.anchor, '') = coalesce(l.anchor, '') JOIN gsets x ON x.diagram_id = r.diagram_id
+        WHERE NOT list_contains(nodes, g.node) AND list_contains(es, l.node || '>' || l.node) = list_contains(ds, g.node || '>' || g.node)
+            AND len(list_filter(range(1, len(cids) + 1), lambda j: list_contains(es, cids[j] || '>' || l.node) <> list_contains(ds, nodes[j] || '>' || g.node)
+                OR list_contains(es, l.node || '>' || cids[j]) <> list_contains(ds, g.node || '>' || nodes[j]))) = 0)
+        SELECT * FROM rec) z WHERE k > 0 AND k = (SELECT count(*) FROM gleft l WHERE l.diagram_id = z.diagram_id)),
+    laid AS (SELECT diagram_id, unnest(cids) AS component_id, unnest(nodes) AS shape_id FROM sol WHERE diagram_id IN (SELECT diagram_id FROM sol GROUP BY diagram_id HAVING count(*) = 1)),
+    named AS (SELECT diagram_id, shape_id, arg_max(text, text_seq) AS text FROM placed WHERE shape_id IS NOT NULL GROUP BY ALL)
+    SELECT m.diagram_id, m.component_id, m.method, m.shape_id FROM slot_matches m ANTI JOIN laid USING (diagram_id, component_id)
+    UNION ALL SELECT l.diagram_id, l.component_id, CASE WHEN lower(t.text) = lower(c.label) THEN 'label' ELSE 'role' END, l.shape_id FROM laid l JOIN components c USING (diagram_id, component_id)
+        LEFT JOIN named t ON t.diagram_id = l.diagram_id AND t.shape_id = l.shape_id"""
+
+
+@query("unique_graph", (*_SHAPE_VIEWS, *_TEXT_VIEWS, "lines", "slot_matches", "components", "connections"), _UNIQUE,
+       f"{_SHAPES}, {_TEXTS}, {_PLACED}, {_DIRECTED}, {_LAID}")
 def unique_graph(spark, sf):
-    """Whole-graph correspondence on top of the slot matches (refinement: rows only)."""
+    """Whole-graph correspondence on top of the slot matches."""
     els = _els(spark, sf)
     out = R.match_unique_graph(els, components(spark, sf), connections(spark, sf), matches(spark, sf), canvas(spark, sf), ascii_only=True)
     return out.select("diagram_id", "component_id", "method", "shape_id")
@@ -414,6 +460,52 @@ def reading_direction(spark, sf):
     return Q.reading_direction(connections(spark, sf), matches(spark, sf), loops).select("diagram_id", "connection_id", "direction", "against")
 
 
+# --- all criteria of a drawing at once ---
+_PLAYED = ", ".join(f.replace("slot_matches", "kept") for f in (
+    _SHAPES, _TEXTS, _CONTAINERS, _LEAVES, _COLLIDE, _PLACED, _OVERFLOW, _FONTS, _ELS, _UNITS, _UNEXPECTED, _ARROWS, _RECONCILE, _ARROW_LABELS,
+    _APP, _LOOPS, _BOTH))
+_METRICS = """metrics AS (
+    SELECT diagram_id, 'presence.elements' AS criterion_id, count(*) AS e, count(*) FILTER (verdict = 'absent') AS i FROM cv WHERE tier <> 'typical' GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'presence.unexpected', count(*), CAST(sum(i) AS BIGINT) FROM (SELECT diagram_id, 0 AS i FROM cv WHERE verdict <> 'absent'
+        UNION ALL SELECT diagram_id, 1 FROM unexpected) GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'layout.order', count(*), count(*) FILTER (CASE WHEN vert THEN CASE WHEN sy >= 0 THEN dy ELSE -dy END ELSE CASE WHEN sx >= 0 THEN dx ELSE -dx END END < -5)
+        FROM mv JOIN ax USING (diagram_id) GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'layout.canvas', count(*), count(*) FILTER (outside) FROM units GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'layout.overlap', count(*), count(*) FILTER ((diagram_id, element_id) IN (SELECT diagram_id, element_id FROM collide)) FROM leaves GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'connectivity.connections', count(*), count(*) FILTER (status = 'absent') FROM app WHERE tier <> 'typical' GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'connectivity.endpoints', count(*), CAST(sum(i) AS BIGINT) FROM (SELECT diagram_id, CASE WHEN status = 'reversed' AND tier <> 'typical' THEN 1 ELSE 0 END AS i
+        FROM app WHERE status <> 'absent' UNION ALL SELECT diagram_id, 1 FROM extras) GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'details.labels', count(*), count(*) FILTER (verdict = 'mislabeled') FROM cv WHERE verdict <> 'absent' GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'details.connection_labels', count(*), count(*) FILTER (coalesce(lower(visible_label), '') <> 'yes') FROM app
+        WHERE status <> 'absent' AND label <> '' GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'legibility.overflow', count(*), count(issue) FROM overflow GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, 'legibility.minimum_font', count(*), count(*) FILTER (small) FROM fonts GROUP BY diagram_id)"""
+EVALUATION_VIEWS = (*_CANVAS_VIEWS, "canvas", "components", "connections")
+EVALUATION_CTES = f"{_KEPT}, {_VERDICTS}, {_PLAYED}, {_METRICS}"
+
+
+def scene(spark, sf, **options):
+    return E.Scene(_els(spark, sf), canvas(spark, sf), components(spark, sf), connections(spark, sf), _kept(spark, sf), ascii_only=True, **options)
+
+
+@query("scene_metrics", EVALUATION_VIEWS, "SELECT diagram_id, criterion_id, e AS expected_count, i AS detected_issues FROM metrics", EVALUATION_CTES)
+def scene_metrics(spark, sf):
+    """Opportunities and issues of every criterion that geometry can answer."""
+    return E.evaluate_metrics(scene(spark, sf), RUBRIC).select("diagram_id", "criterion_id", "expected_count", "detected_issues")
+
+
+@query("scene_overall_score", EVALUATION_VIEWS, f"""
+    , d AS (SELECT diagram_id, split_part(criterion_id, '.', 1) AS dimension, min(least(greatest(0, least(1, (e - i) / e)), power(75e-2, i))) AS score
+            FROM metrics WHERE e > 0 GROUP BY ALL)
+    SELECT diagram_id, {sql6('round(avg(score), 9)', 'overall')}, count(*) AS dimensions FROM d GROUP BY diagram_id""", EVALUATION_CTES)
+def scene_overall_score(spark, sf):
+    """All geometry criteria of every drawing to one weighted score over its dimensions."""
+    rubric = criteria_table(spark)
+    panel = P.aggregate_panel(E.evaluate_metrics(scene(spark, sf), RUBRIC), rubric, "minimum", 0.75)
+    out = P.weighted_overall(panel, P.equal_weights(rubric))
+    return out.select("diagram_id", r6(F.round("overall", 9), "overall"), "dimensions")
+
+
 @query("feedback_edges", ("slots",), "SELECT diagram_id, 'C100' AS connection_id FROM lp", _LOOPS)
 def feedback_edges(spark, sf):
     return R.feedback_edges(components(spark, sf), connections(spark, sf))

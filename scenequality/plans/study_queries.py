@@ -51,10 +51,21 @@ def manifest_rejects(spark, sf):
     return V.manifest_problems(rows)
 
 
-@query("catalog_version", ("catalog",), """
-    , h AS (SELECT sha256(id || '|' || sha256 || '|' || difficulty) AS h FROM catalog), c AS (SELECT h, count(*) AS n FROM h GROUP BY ALL),
-    g AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h || ':' || CAST(n AS VARCHAR), ',' ORDER BY h)) AS g FROM c GROUP BY ALL)
-    SELECT 'study-' || substr(sha256(string_agg(b || ':' || g, ',' ORDER BY b)), 1, 12) AS study_version FROM g""")
+def hash_tree_sql(source: str, levels: int = 9) -> str:
+    """The version's hash tree over hashes ``h`` of ``source``; levels below the leaves pass through unchanged."""
+    steps = [f"""hc AS (SELECT h, h || ':' || CAST(count(*) AS VARCHAR) AS entry FROM {source} GROUP BY h),
+    hd AS (SELECT CAST(greatest(0, ceil(log2(greatest(count(*), 1) / 64e0) / 4)) AS BIGINT) AS depth FROM hc),
+    t{levels} AS (SELECT h, entry FROM hc)"""]
+    for k in range(levels - 1, -1, -1):
+        steps.append(f"""t{k} AS (SELECT CASE WHEN {k} <= depth THEN substr(h, 1, {k}) ELSE h END AS h,
+        CASE WHEN {k} <= any_value(depth) THEN substr(any_value(h), 1, {k}) || ':' || sha256(string_agg(entry, ',' ORDER BY entry)) ELSE any_value(entry) END AS entry
+        FROM t{k + 1}, hd GROUP BY CASE WHEN {k} <= depth THEN substr(h, 1, {k}) ELSE h END)""")
+    return ",\n    ".join(steps)
+
+
+@query("catalog_version", ("catalog",), f"""
+    , hh AS (SELECT sha256(id || '|' || sha256 || '|' || difficulty) AS h FROM catalog), {hash_tree_sql('hh')}
+    SELECT 'study-' || substr(entry, 2, 12) AS study_version FROM t0""")
 def catalog_version(spark, sf):
     h = _catalog(spark, sf).select(F.sha2(F.concat_ws("|", "id", "sha256", "difficulty"), 256).alias("h"))
     return combine_hashes(h, "study")

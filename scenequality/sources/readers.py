@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from scenequality.functions.geometry import png_size
 from scenequality.operators.answers import parse_inventories
 from scenequality.schemas import BEAUTY, CORRECTNESS, SCORE_KEYS
+from scenequality.session import cut_lineage
+
+LEAF_HASHES = 64  # row hashes that one leaf of the version's hash tree joins, on average
 
 
 def _stop(condition: Column, message: Column | str, value: Column) -> Column:
@@ -55,6 +58,14 @@ def read_inventories(spark: SparkSession, path: str, key: str = r"([^/]+)\.json$
     return parse_inventories(raw)
 
 
+def read_inventory_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Expectation documents as JSON lines (diagram_id, inventory document), for very many drawings."""
+    doc = F.parse_json("value")
+    return parse_inventories(spark.read.text(path).select(
+        F.try_variant_get(doc, "$.diagram_id", "string").alias("diagram_id"),
+        F.to_json(F.variant_get(doc, "$.inventory", "variant")).alias("inventory")))
+
+
 def read_judge_answers(spark: SparkSession, path: str) -> DataFrame:
     """Raw judge answers from JSON lines (diagram_id, judge, sample_no, answer document as text)."""
     doc = F.parse_json("value")
@@ -134,28 +145,38 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def content_version(rows: DataFrame, ident: str) -> DataFrame:
     """``ident`` plus 12 hex digits over all rows, whatever their order.
 
-    Row hashes are combined in two levels (by leading digits, then over those groups), so no task
-    holds the whole catalog; repeated rows travel once, with their count.
+    Row hashes are combined in a tree, so no task holds more than a small part of the catalog; repeated rows
+    travel once, with their count.
     """
     row = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("h"))
     return combine_hashes(row, ident)
 
 
 def combine_hashes(row: DataFrame, ident: str) -> DataFrame:
-    counted = row.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    lead = counted.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(
-        F.collect_list(F.concat(F.col("h"), F.lit(":"), F.col("n").cast("string")))), ","), 256).alias("g"))
-    whole = lead.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", F.lit(":"), "g"))), ","), 256).alias("v"))
-    return whole.select(F.concat(F.lit(f"{ident}-"), F.substring("v", 1, 12)).alias("study_version"))
+    """One version from row hashes ``h``, by a hash tree: a node is the digest of what follows its leading digits.
 
-
-def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(diagrams, one-row study version)."""
+    The leaves are as deep as the count of different hashes asks for, so a node joins about ``LEAF_HASHES`` hashes, and
+    16 nodes above, however large the catalog is.
+    """
+    level = cut_lineage(row.groupBy("h").agg(F.count(F.lit(1)).alias("n")).select("h", F.concat("h", F.lit(":"), F.col("n").cast("string")).alias("entry")))
+    depth, reach = 0, LEAF_HASHES
+    size = level.count()
+    while reach < size:
+        depth, reach = depth + 1, reach * 16
+    for digits in range(depth, -1, -1):
+        node = F.substring("h", 1, digits) if digits else F.lit("")
+        digest = F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), ","), 256)
+        level = level.groupBy(node.alias("h")).agg(digest.alias("v")).select("h", F.concat("h", F.lit(":"), "v").alias("entry"))
+    return level.select(F.concat(F.lit(f"{ident}-"), F.substring("entry", 2, 12)).alias("study_version"))
+
+
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(diagrams, one-row study version) of a catalog document, or of many parts of one as JSON ``lines``."""
     schema = ("id string, diagrams array<struct<id:string,image:string,caption:string,difficulty:string,"
               "source:string,sha256:string,set:int,label:string,defects:string>>")
-    doc = spark.read.schema(schema).json(path, multiLine=True)
+    doc = spark.read.schema(schema).json(path, multiLine=not lines)
     rows = doc.select(F.inline("diagrams"))
-    name = doc.select("id").first()[0]
+    name = doc.agg(F.min("id")).first()[0]
     return rows, content_version(rows, name)
 
 
@@ -174,12 +195,12 @@ def read_score_log(spark: SparkSession, path: str) -> DataFrame:
     return _unique(rows, ["id", "dimension"], "saved score")
 
 
-def read_human_ratings(spark: SparkSession, path: str, corrected: str | None = None) -> DataFrame:
-    """Long human scores; corrected ratings replace the originals they cover."""
+def read_human_ratings(spark: SparkSession, path: str, corrected: str | None = None, lines: bool = False) -> DataFrame:
+    """Long human scores; corrected ratings replace the originals they cover. ``lines``: many documents as JSON lines."""
     scores = ",".join(f"{k}:double" for k in SCORE_KEYS)
     schema = (f"diagrams array<struct<id:string,image:string,caption:string,difficulty:string,label:string,rater:string,"
               f"defects:array<struct<defect:string,criterion:string>>,scores:struct<{scores}>>>")
-    load = lambda p: spark.read.schema(schema).json(p, multiLine=True).select(F.inline("diagrams"))
+    load = lambda p: spark.read.schema(schema).json(p, multiLine=not lines).select(F.inline("diagrams"))
     rows = load(path)
     if corrected is not None:
         newer = load(corrected)
@@ -193,6 +214,11 @@ def read_dataset_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema, multiLine=True, quote='"', escape='"', enforceSchema=False)
 
 
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(diagram_id, report JSON) as ``write_reports`` leaves them."""
+    return spark.read.schema("diagram_id string, report string").json(path)
+
+
 # --- S14 ---
 def read_image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """Width and height of PNG files from their header bytes; null for anything else."""

@@ -39,7 +39,8 @@ def report_documents(overall: DataFrame, dimensions: DataFrame, metrics: DataFra
 
 
 def write_reports(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    reports.select("report").write.mode(mode).text(path)
+    """Report documents as JSON lines (diagram_id, report)."""
+    reports.select(F.to_json(F.struct(F.col("diagram_id").cast("string").alias("diagram_id"), "report")).alias("value")).write.mode(mode).text(path)
 
 
 def explode_reports(reports: DataFrame) -> DataFrame:

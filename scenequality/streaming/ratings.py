@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scenequality.operators.validate import rating_complete, rating_valid
@@ -119,7 +122,47 @@ def write_unique_scores(stream: DataFrame, path: str, checkpoint: str):
         availableNow=True).foreachBatch(save).start()
 
 
-def append_new_scores(stream: DataFrame, path: str, checkpoint: str):
-    """Resumable append: the checkpoint remembers what was scored, each start takes only what is new."""
-    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def score_resumably(jobs: DataFrame, path: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], attempts: int = 3) -> None:
+    """One start of a resumable scorer: failed items of earlier starts first, then what is new in the stream ``jobs``.
+
+    ``jobs`` has a column ``id``; ``score`` adds ``score`` and ``error`` (null where it worked) to rows that carry their
+    ``attempt``. The checkpoint remembers which jobs were taken, the log at ``path`` how each attempt ended, so a job
+    that failed stays pending over any number of starts until it works or has had ``attempts`` tries.
+    """
+    spark = jobs.sparkSession
+    failed = pending_scores(spark, path, attempts)
+    if failed is not None:
+        again = failed.withColumn("attempt", F.col("attempt") + 1).drop("score", "error")
+        score(again).write.mode("append").parquet(path)
+
+    def save(rows, batch):
+        # a repeated batch leaves out what its first try wrote
+        done = _scored(spark, path)
+        fresh = rows.withColumn("attempt", F.lit(1))
+        score(fresh if done is None else fresh.join(done.select("id"), "id", "left_anti")).write.mode("append").parquet(path)
+
+    jobs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+
+
+def _scored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The log of attempts; None before the first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def last_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """The last attempt of every scored job."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("id").agg(F.max("attempt").alias("attempt"))
+    return rows.join(last, ["id", "attempt"], "left_semi").dropDuplicates(["id"])
+
+
+def pending_scores(spark: SparkSession, path: str, attempts: int = 3) -> DataFrame | None:
+    """Jobs whose last attempt failed and that have tries left; None before the first start."""
+    if _scored(spark, path) is None:
+        return None
+    return last_attempts(spark, path).filter(F.col("error").isNotNull() & (F.col("attempt") < attempts))

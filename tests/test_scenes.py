@@ -165,6 +165,61 @@ def test_crowded_drawings_give_the_same_results(spark):
         assert rows(plain) == rows(cut)
 
 
+def crowd(spark, n=160):
+    """A crowded drawing with arrows: a background, a few large boxes, many small ones, long diagonal lines and free texts."""
+    from scenequality.schemas import ELEMENTS
+    data = [("big", 0, "back", "rect", 0.0, 0.0, 4000.0, 3000.0, "", 0.0, "", "", "", "", [])]
+    for i in range(n):
+        x, y = float(i * 373 % 3900), float(i * 541 % 2900)
+        w, h = (700.0, 500.0) if i % 40 == 7 else (20.0 + i % 9, 12.0 + i % 5)
+        data.append(("big", 4 * i + 1, f"e{i}", "rect", x, y, w, h, "", 0.0, "", "", "", "", []))
+        data.append(("big", 4 * i + 2, f"t{i}", "text", x + 4, y + 2, 9.0, 6.0, f"w{i}", 9.0, "", "", "", "", []))
+        j = (i * 7 + 1) % n
+        ends = [(x + w / 2, y + h / 2), (float(j * 373 % 3900) + 15, float(j * 541 % 2900) + 8)]
+        if i % 3 == 0:
+            ends.insert(1, (x, ends[1][1]))
+        data.append(("big", 4 * i + 3, f"l{i}", "polyline", 0.0, 0.0, 0.0, 0.0, "", 0.0, "none", "#000", "", "a" if i % 5 else "", ends))
+        data.append(("big", 4 * i + 4, f"f{i}", "text", (ends[0][0] + ends[-1][0]) / 2 + i % 11, (ends[0][1] + ends[-1][1]) / 2, 8.0, 5.0, f"on {i}", 9.0, "", "", "", "", []))
+    elements = spark.createDataFrame(data, ELEMENTS)
+    canvases = spark.createDataFrame([("big", 4000.0, 3000.0, 1.0)], "diagram_id string, width double, height double, render_scale double")
+    labels = [f"w{i}" if i % 6 else f"nobody {i}" for i in range(n)]
+    parts = spark.createDataFrame([("big", i, f"c{i}", l, "box", "required") for i, l in enumerate(labels)], COMPONENTS)
+    edges = spark.createDataFrame([("big", i, f"C{i + 1}", f"c{i}", f"c{(i * 7 + 1) % n}", "", "required") for i in range(n)], CONNECTIONS)
+    return elements, canvases, parts, edges
+
+
+def test_crowded_drawings_keep_arrows_labels_and_roles(spark):
+    from scenequality.operators.spatial_index import drawing_grid
+    elements, canvases, parts, edges = crowd(spark)
+    grid = drawing_grid(elements.filter("tag <> 'polyline'"), limit=50)
+    assert grid is not None
+    results = []
+    for g in (None, grid):
+        matches = M.match_labels(elements, parts, grid=g)
+        arrows = C.drawn_arrows(elements, matches, canvases, g)
+        ends = C.attach_endpoints(C.connectors_of(elements), C.match_pool(matches), canvases, g)
+        roles = M.recover_roles(elements, parts, edges, matches, canvases, grid=g)
+        results.append([rows(matches, "component_id", "shape_id"), rows(ends), rows(arrows, "element_id", "source", "target"),
+                        rows(C.arrow_labels(elements, arrows, matches, canvases, g)), rows(roles, "component_id", "shape_id", "method"),
+                        rows(S.unexpected_boxes(elements, matches, g)), rows(S.shape_collisions(elements, grid=g)), rows(S.leaves(elements, g), "element_id")])
+    for plain, cut in zip(*results):
+        assert plain and plain == cut
+    assert {r[2] for r in results[0][4]} == {"label", "role"}
+
+
+def test_a_background_over_many_boxes_stays_linear(spark):
+    """No box takes more than four cells, however much larger than the others it is."""
+    from scenequality.operators.spatial_index import at_cell, drawing_grid, with_cells
+    from scenequality.functions.geometry import box as b
+    elements, *_ = crowd(spark, 640)
+    shapes = S.shapes_of(elements)
+    grid = drawing_grid(shapes)
+    per = with_cells(shapes, b(), grid).groupBy("seq").count()
+    assert per.agg(F.max("count")).first()[0] <= 4
+    levels = at_cell(shapes, F.col("x"), F.col("y"), grid).groupBy("seq").count().agg(F.max("count")).first()[0]
+    assert levels <= 10
+
+
 def test_fold_and_rounds_assign_alike(spark):
     elements = scatter(spark, 60)
     parts = spark.createDataFrame([("big", i, f"c{i}", f"w{i % 40} w{(i + 1) % 40}", "box", "required") for i in range(60)], COMPONENTS)

@@ -37,7 +37,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scenequality.llm.token_store import read_tokens, write_tokens
 
     store = write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), BYTE_BPE_END)
-    return read_tokens(spark, store).drop("ids")
+    return read_tokens(spark, store, ids=False)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

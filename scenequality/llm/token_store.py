@@ -40,7 +40,12 @@ class TokenStore:
 
 
 def _pack(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"id {wide.max()} doesn't fit {width} bytes; write the store with width=4")
+    return wide.astype("<u2").tobytes()
 
 
 def _unpack(data: bytes, width: int) -> bytes:
@@ -187,9 +192,11 @@ def read_document(file: str, dictionary: bytes, doc_id: int) -> list[int] | None
     return np.frombuffer(ids, "<u4").tolist()
 
 
-def read_tokens(spark: SparkSession, store: TokenStore, read_bytes: int = 8 << 20) -> DataFrame:
+def read_tokens(spark: SparkSession, store: TokenStore, read_bytes: int = 8 << 20, ids: bool = True) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit).
 
+    ``ids=False`` reads and checks all the same, but leaves the column out.
+
     A file's start is the sum of the counts in the manifest rows before it; frames are read in runs of about
     ``read_bytes``. A document whose count differs from the index stops the job.
     """
@@ -216,23 +223,25 @@ def read_tokens(spark: SparkSession, store: TokenStore, read_bytes: int = 8 << 2
                     high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + read_bytes, "right")) - 1)
                     high = min(high, len(keys))
                     run = memoryview(_read_at(source, int(bounds[low]), int(bounds[high] - bounds[low])))
-                    ids = []
+                    found, sums = [], []
                     for k in range(low, high):
                         frame = run[bounds[k] - bounds[low] : bounds[k + 1] - bounds[low]]
-                        ids.append(_unpack(decompressor.decompress(frame), width))
-                        if len(ids[-1]) != 4 * counts[k]:
+                        one = _unpack(decompressor.decompress(frame), width)
+                        if len(one) != 4 * counts[k]:
                             raise ValueError(f"{file}: document {keys[k]} is damaged")
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys[low:high], pa.int64(), mask=absent[low:high]),
-                            pa.array(starts[low:high], pa.int64()),
-                            pa.array(counts[low:high], pa.int64()),
-                            pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                            pa.array(ids, pa.binary()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                        sums.append(zlib.crc32(one))
+                        if ids:
+                            found.append(one)
+                    columns = [
+                        pa.array(keys[low:high], pa.int64(), mask=absent[low:high]), pa.array(starts[low:high], pa.int64()),
+                        pa.array(counts[low:high], pa.int64()), pa.array(sums, pa.int64()),
+                    ]
+                    if ids:
+                        columns.append(pa.array(found, pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
                     low = high
 
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
     spread = files.select("file", "start").repartition(max(1, store.manifest.count()))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return spread.mapInArrow(read, schema)

@@ -72,25 +72,46 @@ class WordEncoder:
         known.update({word: known[stem] + self._tails[tail] for word, (stem, tail) in ended.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Most words are known, so a text is first put together; only one that misses a word has
+        its words gathered and learned, all such texts of the call at once."""
         odd = {i: t for i, t in enumerate(texts) if t and not (_plain(t) and (self._spaced or not _CASED.search(t)))}
         whole = dict(zip(odd, self.whole(list(odd.values())), strict=True))
+        if self._spaced and "\n" not in self._first:
+            self._learn(self._first, {"\n"})
+        out: list[bytes] = []
+        missed: dict[int, list] = {}
+        for i, text in enumerate(texts):
+            if i in odd or not text:
+                out.append(whole.get(i, b""))
+                continue
+            words = self._cut(text)
+            try:
+                out.append(self._joined(words))
+            except KeyError:
+                out.append(b"")
+                missed[i] = words
+        if missed:
+            self._learn_all(list(missed.values()))
+            for i, words in missed.items():
+                out[i] = self._joined(words)
+        return out
+
+    def _cut(self, text: str) -> list:
+        """Words, or words by line where a space belongs to the word after it."""
+        return [line.split(" ") for line in text.split("\n")] if self._spaced else text.lower().split()
+
+    def _joined(self, words: list) -> bytes:
         if not self._spaced:
-            split = [() if i in odd else t.lower().split() for i, t in enumerate(texts)]
-            self._learn(self._first, set().union(*split))
-            get = self._first.__getitem__
-            return [whole[i] if i in odd else b"".join(map(get, words)) for i, words in enumerate(split)]
-        lines = [() if i in odd or not t else [line.split(" ") for line in t.split("\n")] for i, t in enumerate(texts)]
-        self._learn(self._first, {"\n"}.union(words[0] for text in lines for words in text))
-        following: set[str] = set()
-        for text in lines:
-            for words in text:
-                following.update(words[1:])
-        self._learn(self._next, following, " ")
-        first, get, newline = self._first, self._next.__getitem__, self._first["\n"]
-        return [
-            whole[i] if i in odd else newline.join([first[words[0]] + b"".join(map(get, words[1:])) for words in text])
-            for i, text in enumerate(lines)
-        ]
+            return b"".join(map(self._first.__getitem__, words))
+        first, get = self._first, self._next.__getitem__
+        return first["\n"].join([first[line[0]] + b"".join(map(get, line[1:])) for line in words])
+
+    def _learn_all(self, texts: list[list]) -> None:
+        if not self._spaced:
+            self._learn(self._first, set().union(*texts))
+            return
+        self._learn(self._first, {"\n"}.union(line[0] for text in texts for line in text))
+        self._learn(self._next, {w for text in texts for line in text for w in line[1:]}, " ")
 
 
 @functools.lru_cache(maxsize=4)

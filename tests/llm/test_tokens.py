@@ -120,3 +120,12 @@ def test_packing_is_tight_and_ignores_clashing_columns(spark):
     assert check_layout(rows, 4096) <= 1.03 * total / 4096 + 1
     assert pack(pieces.limit(0)).count() == 0
     assert token_pieces(documents(spark, []), WORDS, 1).count() == 0
+
+
+def test_ids_that_do_not_fit_stop_the_store():
+    from scenequality.llm.token_store import _pack
+
+    wide = np.array([1, 65_535], "<u4").tobytes()
+    assert _pack(wide, 2) == np.array([1, 65_535], "<u2").tobytes() and _pack(b"", 2) == b""
+    with pytest.raises(ValueError, match="width=4"):
+        _pack(np.array([1, 70_000], "<u4").tobytes(), 2)

@@ -33,7 +33,7 @@ def report_documents(overall: DataFrame, dimensions: DataFrame, metrics: DataFra
     dims = dimensions.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct("dimension", "score"))).alias("dimensions"))
     rows = metrics.groupBy("diagram_id").agg(F.array_sort(F.collect_list(F.struct(
         "criterion_id", "judge", "expected_count", "detected_issues"))).alias("metrics"))
-    joined = overall.join(dims, "diagram_id").join(rows, "diagram_id", "left")
+    joined = overall.select("diagram_id", "overall").join(dims, "diagram_id").join(rows, "diagram_id", "left")
     whole = _join_keys(joined, weight_formula(weights), [])
     return whole.select("diagram_id", F.to_json(F.struct(F.col("overall").alias("correctness"), "formula", "dimensions", "metrics")).alias("report"))
 

@@ -32,7 +32,7 @@ SPACE = "▁"  # how the vocabulary writes a space
 GIANT = 1 << 15  # characters from which a text is cut into chunks
 CHUNK = 1 << 13
 CHUNKS_PER_BLOCK = 64
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 UNKNOWN = 10.0  # an unknown character scores this much less than the worst piece
 NO = -np.inf
 

@@ -15,6 +15,10 @@ import string
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
+
+WORDS_A_CALL = 64  # words that are encoded in one string
+
 _ODD = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 _CASED = re.compile("[\u0130\u03a3]")  # the two letters whose lower case is longer or depends on their place
 _EDGES = ("  ", "\n\n", " \n", "\n ")
@@ -42,44 +46,74 @@ class WordEncoder:
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._spaced = spaced
         self._words = words
-        self._first: dict[str, bytes] = {}
-        self._next: dict[str, bytes] = {}
+        self._mark = "\n" if spaced else "|"
+        self._between = "\n" if spaced else " | "
+        self._mark_ids = self.whole([self._mark])[0]
+        self._mark_id = int.from_bytes(self._mark_ids, "little") if len(self._mark_ids) == 4 else None
+        self._known: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str = "") -> None:
-        new = list(words.difference(known))
+    def apart(self, words: list[str], before: str = "") -> dict[str, bytes]:
+        """Ids of each word by itself, ``before`` put in front. Many words share a string, with a mark between any two
+        that is always a token of its own; words that hold the mark, and strings where it isn't found as often as it
+        was put in, are encoded one by one."""
+        free = [w for w in words if w and self._mark not in w] if self._mark_id is not None else []
+        groups = [free[i : i + WORDS_A_CALL] for i in range(0, len(free), WORDS_A_CALL)]
+        joint = [before + (self._between + before).join(g) for g in groups]
+        found: dict[str, bytes] = {}
+        for group, one in zip(groups, self._tokenizer.encode_batch_fast(joint, add_special_tokens=False), strict=True):
+            ids = np.array(one.ids, "<u4")
+            marks = 4 * np.flatnonzero(ids == self._mark_id)
+            if len(marks) == len(group) - 1:
+                raw, ends = ids.tobytes(), [*marks.tolist(), 4 * len(ids)]
+                found.update(zip(group, map(raw.__getitem__, map(slice, [0, *(marks + 4).tolist()], ends)), strict=True))
+        alone = [w for w in words if w not in found]
+        found.update(zip(alone, self.whole([before + w for w in alone]), strict=True))
+        return found
+
+    def _learn(self, words: set[str]) -> None:
+        known = self._known
+        new = words.difference(known)
         if len(known) + len(new) > self._words:
             kept = dict(itertools.islice(known.items(), self._words // 2))
             known.clear()
             known.update(kept)
-            new = list(words.difference(known))
-        plain = [w for w in new if w[-1:].isalnum()]
-        ended = {}
-        for word in set(new).difference(plain):
-            stem = word.rstrip(string.punctuation)
-            if stem.isalpha() and stem != word:
-                ended[word] = stem, word[len(stem) :]
+            new = words.difference(known)
+        if not self._spaced:
+            known.update(self._ended(new, known, ""))
+            return
+        opening = {w[1:] for w in new if w[:1] == "\n"}
+        known.update(self._ended([w for w in new if w[:1] != "\n"], known, " "))
+        known.update([("\n" + w, self._mark_ids + ids) for w, ids in self._ended(opening, {}, "").items()])
+
+    def _ended(self, words: Iterable[str], known: dict[str, bytes], before: str) -> dict[str, bytes]:
+        """Ids of ``words`` and of the stems of those that end in punctuation."""
+        plain, ended = [], []
+        for word in words:
+            stem = word if word[-1:].isalnum() else word.rstrip(string.punctuation)
+            if stem != word and stem.isalpha():
+                ended.append((word, stem))
             else:
                 plain.append(word)
-        asked = list({stem for stem, _ in ended.values()}.union(plain).difference(known))
-        known.update(zip(asked, self.whole([before + w for w in asked] if before else asked), strict=True))
-        tails = list({tail for _, tail in ended.values()}.difference(self._tails))
+        stems = {stem for _, stem in ended}
+        found = self.apart(list(stems.union(plain).difference(known)), before)
+        found.update([(stem, known[stem]) for stem in stems.intersection(known)])
+        tails = list({word[len(stem) :] for word, stem in ended}.difference(self._tails))
         self._tails.update(zip(tails, self.whole(tails), strict=True))
-        known.update({word: known[stem] + self._tails[tail] for word, (stem, tail) in ended.items()})
+        found.update([(word, found[stem] + self._tails[word[len(stem) :]]) for word, stem in ended])
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Most words are known, so a text is first put together; only one that misses a word has
         its words gathered and learned, all such texts of the call at once."""
         odd = {i: t for i, t in enumerate(texts) if t and not (_plain(t) and (self._spaced or not _CASED.search(t)))}
         whole = dict(zip(odd, self.whole(list(odd.values())), strict=True))
-        if self._spaced and "\n" not in self._first:
-            self._learn(self._first, {"\n"})
         out: list[bytes] = []
-        missed: dict[int, list] = {}
+        missed: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
             if i in odd or not text:
                 out.append(whole.get(i, b""))
@@ -91,27 +125,19 @@ class WordEncoder:
                 out.append(b"")
                 missed[i] = words
         if missed:
-            self._learn_all(list(missed.values()))
+            self._learn(set().union(*missed.values()))
             for i, words in missed.items():
                 out[i] = self._joined(words)
         return out
 
-    def _cut(self, text: str) -> list:
-        """Words, or words by line where a space belongs to the word after it."""
-        return [line.split(" ") for line in text.split("\n")] if self._spaced else text.lower().split()
+    def _cut(self, text: str) -> list[str]:
+        """Words; where a space belongs to the word after it, the first of a line has the line break in front, and
+        that of the text too."""
+        return ("\n" + text.replace("\n", " \n")).split(" ") if self._spaced else text.lower().split()
 
-    def _joined(self, words: list) -> bytes:
-        if not self._spaced:
-            return b"".join(map(self._first.__getitem__, words))
-        first, get = self._first, self._next.__getitem__
-        return first["\n"].join([first[line[0]] + b"".join(map(get, line[1:])) for line in words])
-
-    def _learn_all(self, texts: list[list]) -> None:
-        if not self._spaced:
-            self._learn(self._first, set().union(*texts))
-            return
-        self._learn(self._first, {"\n"}.union(line[0] for text in texts for line in text))
-        self._learn(self._next, {w for text in texts for line in text for w in line[1:]}, " ")
+    def _joined(self, words: list[str]) -> bytes:
+        ids = b"".join(map(self._known.__getitem__, words))
+        return ids[len(self._mark_ids) :] if self._spaced else ids
 
 
 @functools.lru_cache(maxsize=4)

@@ -43,3 +43,23 @@ def test_criteria_are_added_up_one_by_one(spark, capsys):
 def test_no_criterion_has_a_handler(spark):
     with pytest.raises(ValueError):
         E.evaluate_metrics(Few(spark), [("x.none", "x", "low", "c")], handlers={})
+
+
+@pytest.mark.parametrize("name, shared", [("connections", "slots"), ("lines", "slots"), ("links", "slots")])
+def test_a_view_read_again_is_computed_once(spark, tables, name, shared):
+    alone = rows(B.view(spark, tables, name))
+    with B.sharing():
+        found = B.view(spark, tables, name)
+        assert B._scope.get()[shared] is not None
+        assert rows(found) == alone and alone
+        assert not any("lineitem" in f for f in found.inputFiles())
+
+
+def test_elements_of_several_parts_share_their_boxes(spark, tables):
+    alone = rows(B.elements(spark, tables))
+    with B.sharing():
+        found = B.elements(spark, tables)
+        assert rows(found) == alone
+        assert not any("lineitem" in f for f in found.inputFiles())
+    with B.sharing():  # a single reading needs no copy
+        assert any("lineitem" in f for f in B.elements(spark, tables, ("rects",)).inputFiles())

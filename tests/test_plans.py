@@ -63,3 +63,19 @@ def test_elements_of_several_parts_share_their_boxes(spark, tables):
         assert not any("lineitem" in f for f in found.inputFiles())
     with B.sharing():  # a single reading needs no copy
         assert any("lineitem" in f for f in B.elements(spark, tables, ("rects",)).inputFiles())
+
+
+def test_written_tables_are_zstd(spark):
+    import pyarrow.parquet as pq
+    files = [f.removeprefix("file://").removeprefix("file:") for f in cut_lineage(spark.range(10)).inputFiles()]
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_rows} == {"ZSTD"}
+
+
+def test_answers_are_written_compressed(spark, tables):
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/scenequality/answers-*/part-*"))
+    parsed, inventories = A._parsed(spark, tables)
+    written = set(glob.glob(f"{folder}/scenequality/answers-*/part-*")) - before
+    assert written and all(f.endswith(".gz") for f in written)
+    assert any(gzip.open(f, "rt").readline() for f in written)
+    assert sorted(r.diagram_id for r in parsed.collect()) == ["7", "8"] == sorted(r.diagram_id for r in inventories.collect())

@@ -79,3 +79,10 @@ def test_answers_are_written_compressed(spark, tables):
     assert written and all(f.endswith(".gz") for f in written)
     assert any(gzip.open(f, "rt").readline() for f in written)
     assert sorted(r.diagram_id for r in parsed.collect()) == ["7", "8"] == sorted(r.diagram_id for r in inventories.collect())
+
+
+def test_metrics_of_answers_are_written_one_by_one(spark, tables, capsys):
+    out = A._answer_metrics(spark, tables)
+    assert {r.criterion_id for r in out.collect()} >= {"presence.elements", "details.labels"}
+    out.explain()
+    assert not any(step in capsys.readouterr().out for step in ("Exchange", "Aggregate", "Join"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scenequality.functions.geometry import box, contrast_ratio, half_even, hue_families, hue_saturation
+from scenequality.functions.geometry import box, channel_hue, channels, half_even, hue_families, luminance, luminance_ratio, relative_luminance
 
 
 def margins(boxes: DataFrame, canvases: DataFrame) -> DataFrame:
@@ -62,12 +62,16 @@ def style_variants(elements: DataFrame, by: str, signature: list[str]) -> DataFr
 def colour_facts(fills: DataFrame, background: Column) -> DataFrame:
     """Hue families and the weakest box contrast per drawing.
 
-    Only distinct colours of a drawing are ordered (first use first), never its elements.
+    Only distinct colours of a drawing are ordered (first use first), never its elements. The text of a colour is read
+    once: everything else is arithmetic on its channels.
     """
     distinct = fills.groupBy("diagram_id", "fill").agg(F.min("seq").alias("_first"))
-    hue, saturation = hue_saturation(F.col("fill"))
-    rows = distinct.withColumn("_hue", hue).withColumn("_sat", saturation).withColumn("_contrast", contrast_ratio(F.col("fill"), background))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("_sat") >= 0.25, F.struct("_first", "_hue"))))
+    r, g, b = (F.col(c) for c in ("_r", "_g", "_b"))
+    read = distinct.withColumns(dict(zip(("_r", "_g", "_b"), channels(F.col("fill")))))
+    hue, saturation = channel_hue(r, g, b)
+    rows = read.withColumns({"_hue": hue, "_sat": saturation, "_light": luminance(r, g, b)}).withColumn(
+        "_contrast", luminance_ratio(F.col("_light"), relative_luminance(background)))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("_sat") >= 0.25, F.struct("_first", "_hue"))))
     return rows.groupBy("diagram_id").agg(
         F.size(hue_families(F.transform(ordered, lambda s: s["_hue"]))).alias("hue_families"),
         half_even(F.min("_contrast"), 2).alias("min_box_contrast"))

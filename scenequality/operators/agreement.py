@@ -204,9 +204,9 @@ def numbered(errors: DataFrame, order: str = "id") -> DataFrame:
     return positions(errors, [], [order])
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Few rows that each expand into many: hash them over all shuffle partitions first."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def paired_bootstrap(errors: DataFrame, draws: int = 10000, seed: int = 20261112) -> DataFrame:

@@ -11,7 +11,7 @@ from scenequality.operators import judging as J, study as D, validate as V
 from scenequality.plans.bindings import components_of_chain, rating_events, sessions, view
 from scenequality.plans.registry import mix_items, query, r6, sql6
 from scenequality.schemas import SCORE_KEYS
-from scenequality.session import checkpoint_folder
+from scenequality.session import checkpoint_folder, cut_lineage
 from scenequality.sources.readers import combine_hashes
 from scenequality.streaming import ratings as E
 
@@ -221,7 +221,7 @@ def _streamed(spark, sf):
 def streamed_rating_upsert(spark, sf):
     """rating_upsert as a stream: reviewed, folded with one state row per key, saved batch by batch, read back."""
     writes, folder = _streamed(spark, sf)
-    people = sessions(view(spark, sf, "writes"))
+    people = cut_lineage(sessions(view(spark, sf, "writes")))  # every batch reads it
     E.write_upserts(E.current_ratings(rating_events(writes), people), f"{folder}/ratings", f"{folder}/checkpoint").awaitTermination()
     current = E.saved_ratings(spark, f"{folder}/ratings")
     return current.select("session_id", "diagram_id", F.col("scores")["layout"].alias("layout"), "duration_ms", "complete")
@@ -244,7 +244,7 @@ def streamed_unique_scores(spark, sf):
 def streamed_progress(spark, sf):
     """Live counters per session over the accepted writes of a stream."""
     writes, folder = _streamed(spark, sf)
-    people = sessions(view(spark, sf, "writes"))
+    people = cut_lineage(sessions(view(spark, sf, "writes")))
     good = E.review_events(rating_events(writes), people).filter(F.col("reason").isNull())
     E.write_latest(E.progress(good), f"{folder}/progress", f"{folder}/checkpoint").awaitTermination()
     last = F.to_date("last_write").cast("string").alias("last_day")

@@ -64,10 +64,10 @@ def write_latest(rows: DataFrame, path: str, checkpoint: str):
 
 def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Last saved row of each key."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path).dropna(subset=keys)
     others = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-    return rows.join(newest, [*keys, "batch"], "left_semi").select(*keys, *others)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_l"))
+    return newest.select(*keys, *(F.col(f"_l.{c}").alias(c) for c in others))
 
 
 def write_upserts(current: DataFrame, path: str, checkpoint: str):

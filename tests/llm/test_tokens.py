@@ -29,6 +29,33 @@ def test_words_give_the_ids_of_whole_texts(path, spaced, texts):
     assert encoder.encode(texts) == encoder.whole(texts)
 
 
+@pytest.mark.parametrize("path, spaced", [(BYTES, True), (WORDS, False)])
+def test_new_words_of_letters_need_no_regular_expressions(path, spaced):
+    encoder, slow = WordEncoder(path, spaced), []
+    apart, whole = encoder.apart, encoder.whole
+    encoder.apart = lambda words, before="": slow.extend(words) or apart(words, before)
+    encoder.whole = lambda texts: slow.extend(texts) or whole(texts)
+    words = [a + b + c + "zqéíàß"[k % 6] for k, a in enumerate(["ka", "lö", "mi", "Nu"] * 6) for b in "aeiou" for c in "xyzw"]
+    text = " ".join(w + [",", ".", "!?", ""][k % 4] for k, w in enumerate(words))
+    assert encoder.encode([text, text, ""]) == [*whole([text]) * 2, b""]
+    assert len(slow) < 10
+
+
+def test_letters_that_come_apart_in_normal_form():
+    for path, spaced in [(BYTES, True), (WORDS, False)]:
+        encoder = WordEncoder(path, spaced)
+        texts = [f"x{c}! {c}, a{c}b." for c in "\u0958\u09df\ufb2a\ufb4e\u212b\u01c5"]
+        assert encoder.encode(texts) == encoder.whole(texts)
+
+
+def test_remembered_words_and_endings_are_bounded():
+    encoder = WordEncoder(BYTES, True, words=20)
+    for k in range(20):
+        texts = [" ".join(f"w{chr(97 + k)}{chr(97 + j)}" + "!?.,;"[j % 5] * (k + 1) + f" q{chr(97 + j)}" for j in range(15))] * 2
+        assert encoder.encode(texts) == encoder.whole(texts)
+    assert len(encoder._known) <= 60 and len(encoder._ends) <= 60
+
+
 def test_store_round_trip(spark):
     docs = documents(spark)
     store = token_store.write_tokens(docs, BYTES, 2, dictionary_size=1024)

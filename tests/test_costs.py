@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from scenequality.operators import answers, beauty, scene, spatial_rules
+from scenequality.operators import answers, beauty, judging, scene, spatial_rules
 from scenequality.sources import readers
 from scenequality.sources.markup import scan_markup
 from scenequality.streaming import ratings
@@ -73,3 +73,14 @@ def test_answer_lines_are_parsed_once_and_only_what_is_read_is_judged(spark, tmp
     assert [(r.diagram_id, r.problem) for r in bad.collect()] == [("two", "missing component")]
     assert sorted((r.component_id, r.verdict, r.notes) for r in answers.component_rows(good).collect()) == [
         ("a", "present", ""), ("b", "absent", "downgraded: same drawn element as an earlier component")]
+
+
+def test_components_are_named_once(spark):
+    parts = spark.createDataFrame([(1, 0, "a", "One", "box", "required"), (1, 1, "b", "Two", "box", "required"), (1, 2, "c", " two", "box", "required")],
+                                  "diagram_id int, idx int, component_id string, label string, kind string, tier string")
+    links = spark.createDataFrame([(1, 0, "C1", "a", "b", "", "required"), (1, 1, "C2", "a", "x", "", "required")],
+                                  "diagram_id int, idx int, connection_id string, source string, target string, label string, tier string")
+    found = judging.component_checklist(parts, links)
+    assert "lower(" not in plan(found)
+    assert sorted((r.component_id, r.context) for r in found.collect()) == [
+        ("a", "feeds Two [b], x"), ("b", "receives from One; one of 2 components with this label"), ("c", "one of 2 components with this label")]

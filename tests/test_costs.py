@@ -4,10 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from scenequality.operators import answers, beauty, judging, scene, spatial_rules
+from scenequality.operators import answers, beauty, connectors, graph, isomorphism, judging, matching, scene, spatial_rules
 from scenequality.sources import readers
 from scenequality.sources.markup import scan_markup
 from scenequality.streaming import ratings
+from tests.test_scenes import ROW, arrow, drawing, inventory
 
 
 def plan(df):
@@ -84,3 +85,37 @@ def test_components_are_named_once(spark):
     assert "lower(" not in plan(found)
     assert sorted((r.component_id, r.context) for r in found.collect()) == [
         ("a", "feeds Two [b], x"), ("b", "receives from One; one of 2 components with this label"), ("c", "one of 2 components with this label")]
+
+
+def written(df):
+    """Whether the plan reads written tables only."""
+    return not any(name in plan(df) for name in ("LocalRelation", "LogicalRDD", "Join ", "Union"))
+
+
+def test_rounds_read_written_tables(spark, monkeypatch):
+    seen = []
+    one_round, refined = matching._one_round, isomorphism._refined
+    monkeypatch.setattr(matching, "_one_round", lambda near, shapes, state, blocked, parts, edges, n: (
+        seen.append((state, parts, edges)), one_round(near, shapes, state, blocked, parts, edges, n))[1])
+    monkeypatch.setattr(isomorphism, "_refined", lambda state, edges: (seen.append((state, edges)), refined(state, edges))[1])
+    body = ROW.replace(">Beta<", ">Layer<") + arrow("ab", "100,40 160,40") + arrow("bc", "240,40 300,40")
+    elements, canvases = drawing(spark, body)
+    parts, edges = inventory(spark, ["Alpha", "Beta", "Gamma"], [("alpha", "beta"), ("beta", "gamma")])
+    matches = matching.match_labels(elements, parts)
+    assert "LogicalRDD" not in plan(matches) and "LocalRelation" not in plan(matches)
+    full = matching.recover_roles(elements, parts, edges, matches, canvases)
+    assert sorted((r.component_id, r.method) for r in full.collect()) == [("alpha", "label"), ("beta", "role"), ("gamma", "label")]
+    assert seen and all(written(df) for df in seen[0])
+    seen.clear()
+    assert graph.match_unique_graph(elements, parts, edges, matches, canvases).count() == 3
+    assert seen and all(written(df) for df in seen[0])
+
+
+def test_pairs_are_tallied_once(spark):
+    expected = spark.createDataFrame([(1, 0, "C1", "a", "b"), (1, 1, "C2", "b", "c")], "diagram_id int, idx int, connection_id string, source string, target string")
+    arrows = spark.createDataFrame([(1, 5, "x", "a", "b"), (1, 6, "y", "c", "b"), (1, 7, "z", "a", "b")],
+                                   "diagram_id int, seq long, element_id string, source string, target string")
+    verdicts, extras = connectors.reconcile(expected, arrows)
+    assert "Union" not in plan(verdicts)
+    assert sorted((r.connection_id, r.status, r.arrow_id) for r in verdicts.collect()) == [("C1", "present", "x"), ("C2", "reversed", "y")]
+    assert [(r.element_id, r.reason) for r in extras.collect()] == [("z", "unmatched")]
